@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriledger.llm import decontam, golay, langid, mixing, sharding
+from veriledger.llm import decontam, golay, htmltext, langid, mixing, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,15 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -104,5 +113,13 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
-QUERIES = {"op2_mixing": op2_mixing, "op5_golay_simhash": op5_golay_simhash, "op7_size_tiered_shards": op7_size_tiered_shards, "op8_positional_decontam": op8_positional_decontam, "op10_ppm_language": op10_ppm_language}
-ORACLES = {"op2_mixing": OP2_SQL, "op7_size_tiered_shards": OP7_SQL, "op8_positional_decontam": OP8_SQL}
+OP4_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+k AS (SELECT d, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY d HAVING count(*) > 1 AND max(page_id) IS NOT NULL),
+r AS (SELECT p.*, CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to FROM p LEFT JOIN k USING (d))
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+  CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r
+"""
+
+QUERIES = {"op2_mixing": op2_mixing, "op3_page_differencing": op3_page_differencing, "op4_warc_normaliser": op4_warc_normaliser, "op5_golay_simhash": op5_golay_simhash, "op7_size_tiered_shards": op7_size_tiered_shards, "op8_positional_decontam": op8_positional_decontam, "op10_ppm_language": op10_ppm_language}
+ORACLES = {"op2_mixing": OP2_SQL, "op4_warc_normaliser": OP4_SQL, "op7_size_tiered_shards": OP7_SQL, "op8_positional_decontam": OP8_SQL}
