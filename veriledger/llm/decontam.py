@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriledger.llm.common import bounded_broadcast, discard, lower_ascii, store
+from veriledger.llm.common import bounded_broadcast, lower_ascii, store
 
 #: What stands between words: ASCII but letters and digits. Words of either case are cut alike.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -142,4 +142,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.join(bounded_broadcast(other, 1_000_000), same, "left_anti")
 
 
-__all__ = ["anchors", "contamination", "discard", "hits", "item_classes", "keep_clean", "phrase_matches", "positional_index", "proximity_matches", "term_counts", "tokens"]
+__all__ = ["anchors", "contamination", "hits", "item_classes", "keep_clean", "phrase_matches", "positional_index", "proximity_matches", "term_counts", "tokens"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriledger.llm import decontam, golay, htmltext, langid, mixing, sharding, warc
+from veriledger.llm import decontam, golay, htmltext, langid, mixing, sharding, syncmers, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_with_edit(table(spark, sf_dir, "documents"))
+
+
 def op7_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placements(table(spark, sf_dir, "documents"))
 
@@ -121,5 +125,5 @@ SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
   CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r
 """
 
-QUERIES = {"op2_mixing": op2_mixing, "op3_page_differencing": op3_page_differencing, "op4_warc_normaliser": op4_warc_normaliser, "op5_golay_simhash": op5_golay_simhash, "op7_size_tiered_shards": op7_size_tiered_shards, "op8_positional_decontam": op8_positional_decontam, "op10_ppm_language": op10_ppm_language}
+QUERIES = {"op2_mixing": op2_mixing, "op3_page_differencing": op3_page_differencing, "op4_warc_normaliser": op4_warc_normaliser, "op5_golay_simhash": op5_golay_simhash, "op6_closed_syncmers": op6_closed_syncmers, "op7_size_tiered_shards": op7_size_tiered_shards, "op8_positional_decontam": op8_positional_decontam, "op10_ppm_language": op10_ppm_language}
 ORACLES = {"op2_mixing": OP2_SQL, "op4_warc_normaliser": OP4_SQL, "op7_size_tiered_shards": OP7_SQL, "op8_positional_decontam": OP8_SQL}
