@@ -34,7 +34,7 @@ def anchors(text: Column) -> Column:
 
     def chosen(h: Column) -> Column:
         at = lambda j, i: F.get(h, j + i)
-        edge = lambda j: F.least(at(j, 0), at(j, last)) <= F.least(*[at(j, i) for i in range(1, last)])
+        edge = lambda j: F.least(at(j, 0), at(j, last)) == F.least(*[at(j, i) for i in range(last + 1)])
         starts = F.filter(F.sequence(F.lit(0), F.size(h) - last - 1), edge)
         return F.transform(starts, lambda j: F.struct(F.xxhash64(*[at(j, i) for i in range(0, last + 1, S)]).alias("hash"), j.alias("pos")))
 
