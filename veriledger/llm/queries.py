@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriledger.llm import decontam, golay, htmltext, langid, mixing, mixlm, sharding, syncmers, warc
+from veriledger.llm import decontam, golay, htmltext, langid, linededup, mixing, mixlm, sharding, syncmers, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -129,5 +133,5 @@ SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
   CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r
 """
 
-QUERIES = {"op2_mixing": op2_mixing, "op3_page_differencing": op3_page_differencing, "op4_warc_normaliser": op4_warc_normaliser, "op5_golay_simhash": op5_golay_simhash, "op6_closed_syncmers": op6_closed_syncmers, "op7_size_tiered_shards": op7_size_tiered_shards, "op8_positional_decontam": op8_positional_decontam, "op9_context_mixing": op9_context_mixing, "op10_ppm_language": op10_ppm_language}
+QUERIES = {"op1_minhash_lines": op1_minhash_lines, "op2_mixing": op2_mixing, "op3_page_differencing": op3_page_differencing, "op4_warc_normaliser": op4_warc_normaliser, "op5_golay_simhash": op5_golay_simhash, "op6_closed_syncmers": op6_closed_syncmers, "op7_size_tiered_shards": op7_size_tiered_shards, "op8_positional_decontam": op8_positional_decontam, "op9_context_mixing": op9_context_mixing, "op10_ppm_language": op10_ppm_language}
 ORACLES = {"op2_mixing": OP2_SQL, "op4_warc_normaliser": OP4_SQL, "op7_size_tiered_shards": OP7_SQL, "op8_positional_decontam": OP8_SQL}
