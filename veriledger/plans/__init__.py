@@ -1 +1 @@
-"""See the package README."""
+"""Queries over the driver's tables and the SQL they are held against."""

@@ -1 +1 @@
-"""See the package README."""
+"""Where documents come from and go to."""

@@ -1 +1 @@
-"""See the package README."""
+"""Documents as a stream, checked against the ledger so far."""
