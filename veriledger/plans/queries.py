@@ -157,7 +157,7 @@ def _(s, d):
 
 @query("FN-20_stray_escapes")
 def _(s, d):
-    return view(s, d, "events").select("event_id", fn.strip_stray_escapes(F.regexp_replace("props", '"', r'\\\\"')).alias("text"))
+    return view(s, d, "events").select("event_id", fn.strip_stray_escapes(F.replace(F.col("props"), F.lit('"'), F.lit('\\"'))).alias("text"))
 
 
 def _responses(s, d):

@@ -12,7 +12,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 VIEWS = {
     "inv_items": """
       SELECT l_orderkey AS doc_id,
-        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos,
+        cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS bigint) AS pos,
         l_partkey AS partkey, l_suppkey AS suppkey, concat('SKU-', cast(l_partkey AS varchar(20))) AS sku,
         cast(l_quantity AS bigint) AS qty,
         cast(floor(l_extendedprice / l_quantity * 100 + 0.5) AS bigint) AS price_k,
@@ -44,7 +44,7 @@ VIEWS = {
       FROM orders o LEFT JOIN (SELECT doc_id, cast(sum(total_k) AS bigint) AS sum_k, count(*) AS n FROM inv_items GROUP BY doc_id) i ON o.o_orderkey = i.doc_id
         LEFT JOIN tax_ids t ON t.suppkey = o.o_custkey % 97 + 1""",
     "ledger": """
-      SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS row_id, l_orderkey AS orderkey, l_linenumber AS line,
+      SELECT cast(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS bigint) AS row_id, l_orderkey AS orderkey, l_linenumber AS line,
         cast(l_suppkey AS varchar(20)) AS supplier, concat('GIB2026', lpad(cast(l_orderkey * 8 + l_linenumber AS varchar(20)), 9, '0')) AS doc_number,
         cast(l_shipdate AS date) AS issue_date, cast(floor(l_extendedprice * 100 + 0.5) AS bigint) AS amount_key,
         CASE l_linenumber % 3 WHEN 0 THEN 'efatura' WHEN 1 THEN 'email_pdf' ELSE 'photo' END AS channel
