@@ -23,6 +23,7 @@ from veriledger.llm.common import bounded_broadcast, hadoop, new_path, quoted, s
 ARRIVAL, TARGET, LOWEST, FACTOR, TIERS = 4 << 20, 64 << 20, 64 << 10, 4, 8
 #: Runs that one job rewrites.
 RUNS_A_JOB = 128
+UNION = "spark.sql.unionOutputPartitioning"
 MANIFEST = "file string, shard string, tier int, rows long, bytes long"
 
 
@@ -83,8 +84,16 @@ class ShardTable:
             folder = f"{self.path}/data/c{uuid.uuid4().hex}"
             # one task a run, in this order; its number is in the name of its file
             parts = [self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f['file']}" for f in r["files"]]).coalesce(1) for r in batch]
-            reduce(DataFrame.union, parts).write.option("compression", "zstd").parquet(folder)
+            # a union of single partitions would else be one partition
+            kept = self.spark.conf.get(UNION, None)
+            self.spark.conf.set(UNION, "false")
+            try:
+                reduce(DataFrame.union, parts).write.option("compression", "zstd").parquet(folder)
+            finally:
+                self.spark.conf.set(UNION, kept) if kept else self.spark.conf.unset(UNION)
             rows = [(i, r["shard"], r["rows"], r["bytes"]) for i, r in enumerate(batch)]
+            if self._files(folder).count() != len(batch):
+                raise RuntimeError(f"{folder} should have {len(batch)} files, one a run")
             sizes = self.spark.createDataFrame(rows, "place int, shard string, rows long, bytes long")
             done.append(self._files(folder).join(sizes, "place").select("file", "shard", tier(F.col("bytes")).alias("tier"), "rows", "bytes"))
             batch.clear()
