@@ -128,7 +128,7 @@ def _(s, d):
 
 @query("FN-15_text")
 def _(s, d):
-    return view(s, d, "documents").select("doc_id", F.md5(fn.normalise_text(F.substring("text", 1, 200))).alias("normal"))
+    return view(s, d, "documents").select("doc_id", F.md5(fn.normalise_text(F.col("text"))).alias("normal"))
 
 
 @query("FN-16_similarity")
