@@ -1,9 +1,14 @@
 """Queries cover whole texts and whole tables."""
 
 import hashlib
+import os
 import re
+from difflib import SequenceMatcher
+
+import pytest
 
 from veriledger.plans.queries import QUERIES
+from veriledger.plans.views import view
 
 
 def test_text_is_normalised_beyond_a_prefix(spark, tmp_path):
@@ -12,3 +17,58 @@ def test_text_is_normalised_beyond_a_prefix(spark, tmp_path):
     found = {r["doc_id"]: r["normal"] for r in QUERIES["FN-15_text"](spark, str(tmp_path)).collect()}
     md5 = lambda t: hashlib.md5(re.sub(r"\s+", " ", (t or "").lower()).strip().encode()).hexdigest()
     assert found == {k: md5(t) for k, t in texts.items()} and found[1] != found[2]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def few(spark, tmp_path_factory):
+    """The smallest tables with some documents of every remainder of 40."""
+    d = tmp_path_factory.mktemp("few")
+    for t in ("orders", "lineitem", "part", "supplier"):
+        rows = spark.read.parquet(f"{SF}/{t}.parquet")
+        key = {"orders": "o_orderkey", "lineitem": "l_orderkey"}.get(t)
+        (rows.where(f"{key} <= 60") if key else rows).write.parquet(str(d / f"{t}.parquet"))
+    return str(d)
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no tables")
+def test_every_document_is_matched(spark, few):
+    words = {r["p_partkey"]: r for r in view(spark, few, "part").collect()}
+    po, inv = view(spark, few, "po_items").collect(), view(spark, few, "inv_items").collect()
+    text = lambda r: f"{words[r['partkey']]['p_name']} {words[r['partkey']]['p_brand']}"
+    tidy = lambda t: t.strip().lower()
+    pairs = {}
+    for a in po:
+        for b in inv:
+            if a["doc_id"] == b["doc_id"]:
+                other = text(b) + (" " + words[b["partkey"]]["p_type"] if b["partkey"] % 3 == 0 else "")
+                x, y = tidy(text(a)), tidy(other)
+                same = a["partkey"] % 2 == 0 and tidy(a["sku"]) == tidy(b["sku"])
+                pairs[a["doc_id"], a["pos"], b["pos"]] = (same, round(SequenceMatcher(None, x, y).ratio(), 9))
+    rows = QUERIES["JN-07_fuzzy_scores"](spark, few).collect()
+    assert len(rows) == len(pairs) and {(r["doc_id"], r["po_pos"], r["inv_pos"]): (r["same_sku"], round(r["sim"], 9)) for r in rows} == pairs
+    assert any(k[0] % 10 for k in pairs)
+    taken = {}
+    for i, k in sorted({(d, p) for d, p, _ in pairs}):
+        free = [(not v[0], 0 if v[0] else -v[1], j) for (d, p, j), v in pairs.items() if (d, p) == (i, k) and (v[0] or v[1] > 0.65) and (i, j) not in taken]
+        if free:
+            taken[i, min(free)[2]] = k
+    assert {(r["doc_id"], r["inv_pos"]): r["po_pos"] for r in QUERIES["JN-08_greedy"](spark, few).collect()} == taken
+    assert {(r["doc_id"], r["i"], r["j"]) for r in QUERIES["SC-07_item_similarity"](spark, few).collect()} == set(pairs)
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no tables")
+def test_every_number_and_document_is_canonical(spark, few):
+    held = {(r["row_id"], r["doc_number"], r["supplier"]) for r in view(spark, few, "ledger").collect()}
+    new = [(r["doc_id"], r["doc_number"], r["supplier"]) for r in view(spark, few, "incoming").collect()]
+    every = sorted([*held, *new])
+    key = lambda t: re.sub(r"[^0-9a-zçğıöşü]+", "", t.lower())
+    assert sorted(map(tuple, QUERIES["FN-02_doc_number"](spark, few).collect())) == sorted((i, key(n)) for i, n, _ in every)
+    assert sorted(map(tuple, QUERIES["FN-03_number_core"](spark, few).collect())) == sorted((i, re.sub(r"\D", "", n).lstrip("0")) for i, n, _ in every)
+    assert sorted(map(tuple, QUERIES["FN-05_identity_key"](spark, few).collect())) == sorted((i, f"{s}|{key(n)}") for i, n, s in every)
+    docs = {r["doc_id"] for r in view(spark, few, "inv_docs").collect()}
+    rows = QUERIES["TR-09_efatura"](spark, few).collect()
+    assert len(rows) == len(docs) and {r["doc_id"] for r in rows} == docs
+    assert sum(r["n"] for r in QUERIES["SE-05_channels"](spark, few).collect()) == 2 * len(docs)
