@@ -72,3 +72,17 @@ def test_every_number_and_document_is_canonical(spark, few):
     rows = QUERIES["TR-09_efatura"](spark, few).collect()
     assert len(rows) == len(docs) and {r["doc_id"] for r in rows} == docs
     assert sum(r["n"] for r in QUERIES["SE-05_channels"](spark, few).collect()) == 2 * len(docs)
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no tables")
+def test_every_line_is_voted_on(spark, few, tmp_path):
+    lines = spark.read.parquet(f"{few}/lineitem.parquet").limit(1).selectExpr("* except (l_orderkey)", "explode(array(1L, 2L, 3L)) as l_orderkey")
+    lines.selectExpr("*", "explode(sequence(1L, 4 * l_orderkey)) as k").selectExpr("* except (l_linenumber, l_partkey, k)", "cast(k as int) as l_linenumber", "l_partkey + k as l_partkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = {(r["doc_id"], r["pos"]): r for r in view(spark, str(tmp_path), "inv_items").collect()}
+    rows = QUERIES["AG-15_vote_items"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(want) == 4 + 8 + 12 and {(r["doc_id"], r["pos"]) for r in rows} == set(want)
+    for r in rows:
+        line, n = want[r["doc_id"], r["pos"]], 4 * r["doc_id"]
+        seen = sorted(line["qty"] + (line["partkey"] % 3 == p) for p in range(3) if r["pos"] < max(n, 8) - p)
+        assert r["qty"] == seen[len(seen) // 2]
+    assert {(r["doc_id"], r["pos"]) for r in QUERIES["AG-14_vote"](spark, str(tmp_path)).collect()} == set(want)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veriledger import functions as fn
@@ -624,8 +624,20 @@ def _(s, d):
 
 # ---- voting and calls
 
-QUERIES["AG-14_vote"] = lambda s, d: voting.majority_vote(view(s, d, "passes"), ["doc_id", "pos"], "description", "pass").join(voting.median_vote(view(s, d, "passes"), ["doc_id", "pos"], "qty"), ["doc_id", "pos"])
-QUERIES["AG-15_vote_items"] = lambda s, d: voting.vote_items(view(s, d, "passes"))
+
+def passes(s, d):
+    """The view passes, but with all lines of longer documents: pass 0 has every line, the others end 1 and 2 lines before
+    the 8th or, if that is later, the last."""
+    lines = view(s, d, "inv_items").withColumn("n", F.count("*").over(Window.partitionBy("doc_id")))
+    p = F.col("pass")
+    each = lines.withColumn("pass", F.explode(F.array(*map(F.lit, range(3))))).where(F.col("pos") < F.greatest("n", F.lit(8)) - p)
+    sku = F.when(F.col("partkey") % 4 == p, F.concat("sku", F.lit(" "))).when(F.col("partkey") % 4 == 3, F.lower("sku")).otherwise(F.col("sku"))
+    more = lambda c, k, by: (F.col(c) + F.when(F.col("partkey") % k == p, by).otherwise(0)).alias(c)
+    return each.select("doc_id", "pos", "pass", more("qty", 3, 1), more("price_k", 5, 10), sku.alias("description"))
+
+
+QUERIES["AG-14_vote"] = lambda s, d: voting.majority_vote(passes(s, d), ["doc_id", "pos"], "description", "pass").join(voting.median_vote(passes(s, d), ["doc_id", "pos"], "qty"), ["doc_id", "pos"])
+QUERIES["AG-15_vote_items"] = lambda s, d: voting.vote_items(passes(s, d))
 
 #: Dollars per 1000 tokens in and out, in ten-millionths.
 RATES = {"gpt-5-nano": (500, 4000), "gpt-5-mini": (2500, 20000), "gpt-4.1-nano": (1000, 4000), "gpt-4.1-mini": (4000, 16000), "gpt-4o-mini": (1500, 6000)}
