@@ -86,3 +86,18 @@ def test_every_line_is_voted_on(spark, few, tmp_path):
         seen = sorted(line["qty"] + (line["partkey"] % 3 == p) for p in range(3) if r["pos"] < max(n, 8) - p)
         assert r["qty"] == seen[len(seen) // 2]
     assert {(r["doc_id"], r["pos"]) for r in QUERIES["AG-14_vote"](spark, str(tmp_path)).collect()} == set(want)
+
+
+def test_syncmers_keep_every_anchor(spark):
+    from veriledger.llm import syncmers
+
+    shared = " ".join(f"s{i}" for i in range(50))
+    long = lambda p: " ".join(f"{p}{i}" for i in range(3000))
+    rows = [(1, f"{long('a')} {shared} {long('b')}"), (2, f"{long('c')} {shared} {long('d')}"), (3, "two words"), (4, "字" * 50 + "漢語文字本日中国" * 20), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r for r in syncmers.compare_with_edit(df).collect()}
+    full = {r["doc_id"]: {x["hash"] for x in r["a"]} for r in df.select("doc_id", syncmers.anchors("text").alias("a")).collect()}
+    assert len(out[1]["fingerprint"]) == 16 * len(full[1]) and len(full[1]) > 3000
+    assert out[1]["near_next"] == len(full[1] & full[2]) / len(full[1] | full[2]) > 0
+    assert 0 < out[3]["near_edited"] < 1 and out[4]["near_edited"] > 0
+    assert out[5]["fingerprint"] == "" and out[5]["near_edited"] == 1.0

@@ -3,8 +3,9 @@
 A K-word run is an anchor if the least hash among its S-word inner runs is that of the first or the
 last one. Whether a run is an anchor depends on its own words only, so equal passages have equal
 anchors wherever they stand, and of any K - S + 1 runs in a row one at least is an anchor: anchors
-match by position. A fingerprint is the SKETCH least anchor hashes of a text; two of them estimate
-the Jaccard likeness of the anchor sets, exactly while texts have no more anchors than that.
+match by position. A fingerprint is all distinct anchor hashes of a text, so it grows with the text,
+and likeness is the exact Jaccard likeness of two such sets. A text of few words has runs of
+characters in place of words; two texts are compared in characters if one of them is such a text.
 All of it is DataFrame functions.
 """
 
@@ -14,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-K, S, SKETCH = 4, 2, 64
+K, S = 4, 2
+#: Texts of fewer words, or of longer ones on average, have anchors of characters.
+FEW, WIDE = 16, 16
 SPACES = r"[\x20\x09-\x0D]+"
 #: Bytes of text that a bucket of neighbours holds, the most buckets, the ids sampled to cut them.
 BUCKET, MOST_BUCKETS, SAMPLE = 4 << 20, 4096, 100_000
@@ -28,7 +31,14 @@ def _let(value: Column, body) -> Column:
 def anchors(text: Column) -> Column:
     """array<struct<hash, pos>> of the closed syncmers in word order; pos counts words from 0. A
     text of fewer than K words, but not none, is one anchor. Null and empty texts have none."""
-    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
+    return _chosen(_words(text))
+
+
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
+
+
+def _chosen(units: Column) -> Column:
     inner = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.size(w)), lambda x, y: F.xxhash64(x, y))
     last = K - S
 
@@ -40,24 +50,32 @@ def anchors(text: Column) -> Column:
 
     short = lambda w: F.array(F.struct(F.xxhash64(w).alias("hash"), F.lit(0).alias("pos")))
     none = F.array().cast("array<struct<hash:bigint,pos:int>>")
-    return _let(words, lambda w: F.when(F.size(w) == 0, none).when(F.size(w) < K, short(w)).otherwise(_let(inner(w), chosen)))
+    return _let(units, lambda w: F.when(F.size(w) == 0, none).when(F.size(w) < K, short(w)).otherwise(_let(inner(w), chosen)))
+
+
+def _letters(text: Column) -> Column:
+    """The code points of a text, for anchors; of a text without words none."""
+    return F.when(F.size(_words(text)) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
+
+
+def few_words(text: Column) -> Column:
+    """Whether words are too few, or too long as in scripts without spaces, to be the units."""
+    return _let(F.size(_words(text)), lambda n: (n < FEW) | (F.length(text) > n * WIDE))
 
 
-def sketch(text: Column) -> Column:
-    """The SKETCH least distinct anchor hashes, their upper 32 bits, in order."""
-    high = F.transform(anchors(text), lambda a: F.shiftrightunsigned(a["hash"], 32))
-    return F.slice(F.array_sort(F.array_distinct(high)), 1, SKETCH)
+def hashes(found: Column) -> Column:
+    """The distinct hashes of all anchors, in order."""
+    return F.array_sort(F.array_distinct(F.transform(found, lambda a: a["hash"])))
 
 
-def fingerprint(sketched: Column) -> Column:
-    """A sketch as text: 8 hex digits an anchor; empty for a text without words."""
-    return F.lower(F.array_join(F.transform(sketched, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
+def fingerprint(own: Column) -> Column:
+    """Hashes as text: 16 hex digits an anchor; empty for a text without words."""
+    return F.lower(F.array_join(F.transform(own, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard estimate from two sketches; two empty ones are alike."""
-    least = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    return F.when(F.size(F.array_union(a, b)) == 0, 1.0).otherwise(_let(least, lambda u: F.size(F.array_intersect(u, F.array_intersect(a, b))) / F.size(u)))
+    """Jaccard likeness of two sets of hashes; two empty ones are alike."""
+    return _let(F.size(F.array_union(a, b)), lambda n: F.when(n == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / n))
 
 
 def positional_matches(a: Column, b: Column) -> Column:
@@ -111,12 +129,16 @@ def compare_with_edit(docs: DataFrame) -> DataFrame:
     Null texts are empty; repeated rows are rows of their own and may follow each other; a lone row
     follows itself; extra columns are ignored; an empty table gives no rows.
     """
-    rows = with_next(docs, {"own": sketch(F.col("text"))})
+    rows = with_next(docs, {})
     n = F.length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 4).cast("int")), F.substring(F.col("next_text"), F.lit(1), F.floor(n / 4).cast("int")))
-    out = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", "next_own")
-    out = out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("edited")).alias("changed"), "own", "next_own")
-    return out.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"))
+    texts = {"own": F.col("text"), "changed": F.col("edited"), "next": F.col("next_text")}
+    out = rows.withColumn("edited", edited).withColumns({f"few_{k}": few_words(v) for k, v in texts.items()})
+    out = out.withColumns({k: hashes(anchors(v)) for k, v in texts.items()})
+    letters = lambda k: hashes(_chosen(_letters(texts[k])))
+    near = lambda k: F.when(F.col("few_own") | F.col(f"few_{k}"), likeness(letters("own"), letters(k))).otherwise(likeness(F.col("own"), F.col(k)))
+    shown = lambda k: fingerprint(F.when(F.col(f"few_{k}"), letters(k)).otherwise(F.col(k)))
+    return out.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), shown("own").alias("fingerprint"), shown("changed").alias("edited_fingerprint"), near("changed").alias("near_edited"), near("next").alias("near_next"))
 
 
-__all__ = ["anchors", "compare_with_edit", "fingerprint", "likeness", "positional_matches", "sketch", "with_next"]
+__all__ = ["anchors", "compare_with_edit", "few_words", "fingerprint", "hashes", "likeness", "positional_matches", "with_next"]
