@@ -101,3 +101,15 @@ def test_syncmers_keep_every_anchor(spark):
     assert out[1]["near_next"] == len(full[1] & full[2]) / len(full[1] | full[2]) > 0
     assert 0 < out[3]["near_edited"] < 1 and out[4]["near_edited"] > 0
     assert out[5]["fingerprint"] == "" and out[5]["near_edited"] == 1.0
+
+
+def test_documents_with_a_language_stay_whatever_the_score(spark):
+    from veriledger.llm import langid
+
+    same = "the same words in every language"
+    rows = [(i, f"{same} {i % 7}", f"l{i % 5}") for i in range(200)] + [(900, "q", None), (901, None, "l1"), (902, "123", "l1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.identify(docs).collect()
+    named = {r["doc_id"] for r in found if r["lang_pred"] != "und"}
+    assert min(r["score"] for r in found if r["doc_id"] in named) < 0.5
+    assert {r["doc_id"] for r in langid.keep_identified(docs).collect()} == named == {*range(200), 900}

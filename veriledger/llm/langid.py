@@ -151,6 +151,16 @@ class Scorer:
         return out
 
 
+def verdict(scorer: Scorer, names: list[str], texts: pa.Array, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, posterior and bits a byte of each text; `und` and 0 where `letters` is false."""
+    bits = scorer.lengths(texts)
+    best = bits.argmin(1)
+    least = bits[np.arange(len(bits)), best]
+    share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
+    size = np.array([len(x) for x in texts.cast(pa.binary()).fill_null(b"").to_pylist()])
+    return np.where(letters, np.array(names, object)[best], UNDETERMINED), np.where(letters, share, 0.0), least / np.maximum(size, 1)
+
+
 def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits_per_byte for every row of docs.
 
@@ -169,13 +179,7 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
             texts, letters, n = batch.column("text"), batch.column("letters").to_numpy(zero_copy_only=False), batch.num_rows
             pred, conf, rate = np.full(n, UNDETERMINED, object), np.zeros(n), np.zeros(n)
             if names and n:
-                bits = scorer.lengths(texts)
-                best = bits.argmin(1)
-                least = bits[np.arange(n), best]
-                share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
-                size = np.array([len(x) for x in texts.cast(pa.binary()).fill_null(b"").to_pylist()])
-                rate = least / np.maximum(size, 1)
-                pred, conf = np.where(letters, np.array(names, object)[best], UNDETERMINED), np.where(letters, share, 0.0)
+                pred, conf, rate = verdict(scorer, names, texts, letters)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(conf, pa.float64()), pa.array(rate, pa.float64())], ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), "text")
@@ -183,11 +187,11 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     return rows.mapInArrow(score, f"doc_id {kind}, held_out boolean, lang_pred string, score double, bits_per_byte double")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of docs whose language is determined with a score of `least` or more; columns stay.
+def keep_identified(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of docs that identify() gives a language, whatever its score; columns stay.
 
-    The text rides along in the same pass, so rows are neither joined nor shuffled. Null texts,
-    texts without letters and undecided ones go.
+    The text rides along in the same pass, so rows are neither joined nor shuffled. Null texts
+    and texts without letters go, and all rows if there was nothing to learn from.
     """
     langs, trees = fit(training_sample(docs, sample_rows))
     model = docs.sparkSession.sparkContext.broadcast((langs, trees))
@@ -198,8 +202,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5, sample_rows: int = SAMP
             scorer = scorer or Scorer(model.value[1])
             if not model.value[0] or not batch.num_rows:
                 continue
-            bits = scorer.lengths(batch.column("text"))
-            share = 1 / np.exp2(np.maximum(bits.min(1)[:, None] - bits, -1000)).sum(1)
-            yield batch.filter(pa.array(share >= least))
+            pred = verdict(scorer, model.value[0], batch.column("text"), np.ones(batch.num_rows, bool))[0]
+            yield batch.filter(pa.array(pred != UNDETERMINED))
 
     return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(keep, docs.schema)
