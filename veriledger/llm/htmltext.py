@@ -3,11 +3,12 @@
 A page is cut into lines (blocks) that its markup classes: `gone` is what never is text of the
 article (menus, forms, scripts, adverts, comments, ...), `prose` are paragraphs, headings, items
 and cells of an article or main element, `loose` is other text of such an element, and `open` is
-text of a page outside any. Pages of a host are ordered by URL path; each is paired with the
-neighbour whose path shares most with its own, the lines of both are aligned by longest common
-subsequence, and shared lines are deleted. Prose is spared, so that an article that is published
-twice, or a sentence that two articles share, stays; where a page has no article or main element
-at all, the alignment alone tells template from text.
+text of a page outside any. Pages of a host are ordered by URL path, segment by segment, so that the
+nearest of a page is one of its two neighbours; the lines of both are aligned by longest common
+subsequence. A line that both share is deleted if it is of the host's template and not of a text that
+was published twice: pages of equal lines count once, and a shared line must stand on at least three
+pages of the host (on both, of a host with two), prose on half of them at least. A sentence that a
+few articles share, or an article and its near copy, so stay.
 
 Only line hashes travel: pages are parsed once where they are read, their lines are stored packed,
 and hashes are sorted by (host, path) in ranges, so that a host with most pages is spread out.
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriledger.llm.common import bounded_broadcast, store
+from veriledger.llm.common import store
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -44,6 +45,8 @@ MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar widget widgets related recommended recommendations share sharing social comment comments commentlist respond reply replies disqus menu nav navbar navigation breadcrumb breadcrumbs footer header masthead toolbar pagination pager copyright skip search hidden contentinfo complementary dialog".split()
 )
 MARKS_OF_MAIN = frozenset("comment comments reply replies ad ads advert advertisement sponsored promo related teaser".split())
+#: Words beside such a mark that leave its meaning; with any other word it has another.
+NEUTRAL = frozenset("site page main top bottom left right wrapper wrap container box list item area section content contents block inner outer body form link links bar button buttons text article post entry blog wp global local primary secondary mobile desktop row col column panel group title heading icon inline first last fixed sticky small large new user thread section header footer nav js id".split())
 MAIN_NAMES = frozenset("articlebody article-body article-content post-content post-body entry-content story-body main-content".split())
 GONE, NORMAL, LOOSE, OPEN = 0, 1, 2, 3  # GONE is never stored
 SEPARATOR = "\x1e"
@@ -60,15 +63,22 @@ def _class_of(name: str, text: str) -> tuple[bool, bool]:
     if name in ("html", "body"):
         return False, False
     marks = MARKS_OF_MAIN if main else MARKS
-    gone |= any(part in marks for v in named for part in re.split(r"[^a-z]+", v)) and not (main and name not in ("article", "main", "div", "section"))
+    gone |= any(_marked(v, marks) for v in named) and not (main and name not in ("article", "main", "div", "section"))
     gone |= "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
     return gone, main
 
 
+def _marked(name: str, marks: frozenset[str]) -> bool:
+    """Whether a name has a mark and no word that gives it another meaning."""
+    parts = [x for x in re.split(r"[^a-z]+", name) if x]
+    return any(x in marks for x in parts) and all(x in marks or x in NEUTRAL or len(x) == 1 for x in parts)
+
+
 def lines_of(page: str) -> list[tuple[str, int]]:
     """(line, kind) of a page's blocks in order, without those that are gone."""
     out: list[tuple[str, int]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, gone, main, header of an article
+    stack: list[tuple[str, bool, bool, bool]] = []  # name; gone, main, header of an article before it
+    opened: dict[str, int] = {}  # how many of a name the stack has
     words: list[str] = []
     gone = main = title = False
     block = ""
@@ -103,13 +113,13 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         if name in VOID:
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if gone:
-                        words.clear()
-                    del stack[i:]
-                    gone, main, title = any(x[1] for x in stack), any(x[2] for x in stack), any(x[3] for x in stack)
-                    break
+            if opened.get(name):
+                if gone:
+                    words.clear()
+                found = ""
+                while found != name:
+                    found, gone, main, title = stack.pop()
+                    opened[found] -= 1
         elif name in BLOCK and name not in PROSE and name not in ("hr", "tr", "thead", "tbody", "tfoot") or name in INLINE_GONE or m[3] and name != "a" and ("class" in m[3] or "id" in m[3] or "hidden" in m[3]) and name in PROSE | {"span"}:
             drop, chief = _class_of(name, m[3] or m[6] or "")
             heads = name == "header" and main and drop
@@ -117,7 +127,8 @@ def lines_of(page: str) -> list[tuple[str, int]]:
                 if not drop:
                     continue
                 flush()
-            stack.append((name, drop and not heads, chief and not drop, heads))
+            stack.append((name, gone, main, title))
+            opened[name] = opened.get(name, 0) + 1
             gone, main, title = gone or drop and not heads, main or chief and not drop, title or heads
         if name == "tr":
             block = "td"
@@ -195,70 +206,85 @@ def nearness(a: str, b: str) -> int:
     return (segments << 32) + n
 
 
-def main_lines(lines: list[tuple[str, int]], shared: list[bool]) -> list[str]:
-    """The lines that stay. Prose stays; loose lines stay unless shared; open lines count only on
-    pages without an article or main element, unless shared - but a page of which nine tenths are
-    shared is a copy of its neighbour, and keeps them."""
+def main_lines(lines: list[tuple[str, int]], cut: set[int]) -> list[str]:
+    """The lines that stay: all but those cut, open ones only on pages without an article or main
+    element."""
     has_main = any(kind != OPEN for _, kind in lines)
-    copy = not has_main and sum(shared) * 10 >= len(lines) * 9
-    return [line for (line, kind), s in zip(lines, shared, strict=True) if kind == NORMAL or kind == LOOSE and not s or kind == OPEN and not has_main and (copy or not s)]
+    return [line for i, (line, kind) in enumerate(lines) if i not in cut and (kind != OPEN or not has_main)]
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """rid, page_id, url, host, path, hashes, kinds, packed of every page, stored. rid tells rows
-    apart; host is null if the url has none."""
+    """rid, page_id, url, host, path, hashes, kinds, packed, digest of every page, stored. rid tells
+    rows apart; host is null if the url has none; path sorts by segments; digest is of all lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                hashes, kinds, packed = [], [], []
+                hashes, kinds, packed, digests = [], [], [], []
                 for page in part.column("html"):
                     lines = lines_of(page.as_py() or "")
-                    hashes.append(np.array([xxhash.xxh64_intdigest(t) for t, _ in lines], np.uint64).tobytes())
+                    own = np.array([xxhash.xxh64_intdigest(t) for t, _ in lines], np.uint64)
+                    hashes.append(own.view(np.int64))
+                    digests.append(xxhash.xxh64_intdigest(own.tobytes()))
                     kinds.append(bytes(k for _, k in lines))
                     packed.append(zlib.compress(SEPARATOR.join(t.replace(SEPARATOR, " ") for t, _ in lines).encode("utf-8", "replace"), 1))
                 cols = [part.column(c) for c in ("rid", "page_id", "url", "host", "path")]
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(c, pa.binary()) for c in (hashes, kinds, packed))], ["rid", "page_id", "url", "host", "path", "hashes", "kinds", "packed"])
+                made = [pa.array(hashes, pa.list_(pa.int64())), pa.array(kinds, pa.binary()), pa.array(packed, pa.binary()), pa.array(np.array(digests, np.uint64).view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*cols, *made], ["rid", "page_id", "url", "host", "path", "hashes", "kinds", "packed", "digest"])
 
     url = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]+)", 1)
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    rows = pages.select(F.monotonically_increasing_id().alias("rid"), "page_id", "url", F.lower(F.nullif(url, F.lit(""))).alias("host"), F.coalesce(path, F.lit("")).alias("path"), "html")
-    return store(rows.mapInArrow(run, f"rid long, page_id {dict(pages.dtypes)['page_id']}, url string, host string, path string, hashes binary, kinds binary, packed binary"), "html-lines")
+    rows = pages.select(F.monotonically_increasing_id().alias("rid"), "page_id", "url", F.lower(F.nullif(url, F.lit(""))).alias("host"), F.translate(F.coalesce(path, F.lit("")), "/", "\x01").alias("path"), "html")
+    return store(rows.mapInArrow(run, f"rid long, page_id {dict(pages.dtypes)['page_id']}, url string, host string, path string, hashes array<long>, kinds binary, packed binary, digest long"), "html-lines")
+
+
+def nearness(a: str, b: str) -> int:
+    """How much two paths (segments parted by \\x01) share: leading segments, then leading characters."""
+    segments = 0
+    for p, q in zip(a.split("\x01"), b.split("\x01")):
+        if p != q:
+            break
+        segments += 1
+    n = next((i for i, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
+    return (segments << 32) + n
 
 
 def differences(parsed: DataFrame) -> DataFrame:
-    """rid, shared (a byte per line) of every page that has a neighbour on its host."""
-    fields = ["rid", "host", "path", "hashes"]
-    out_schema = "rid long, near long, shared binary, part int, side int, host string, path string, hashes binary"
+    """rid, host, hash, kind, at (from 0) of the lines that a page shares with the nearest page of
+    its host; of two equally near ones with that before it, by path, page_id and digest."""
+    fields = ["rid", "host", "path", "hashes", "kinds"]
+    made = ["rid", "near", "at", "hash", "kind", "part", "side", "host", "path", "hashes", "kinds"]
+    out_schema = "rid long, near long, at array<int>, hash array<long>, kind binary, part int, side int, host string, path string, hashes array<long>, kinds binary"
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.binary()]
 
-    def against(row: tuple, other: tuple) -> tuple | None:
-        if other is None or row[1] != other[1]:
-            return None
-        a, b = (np.frombuffer(x[3], np.uint64).tolist() for x in (row, other))
-        return row[0], nearness(row[2], other[2]), bytes(common(a, b))
+    def against(row: tuple, other: tuple, is_before: bool) -> tuple:
+        at = [i for i, hit in enumerate(common(row[3], other[3])) if hit]
+        return row[0], nearness(row[2], other[2]) * 2 + is_before, at, [row[3][i] for i in at], bytes(row[4][i] for i in at), None, None, row[1], None, None, None
 
     def emit(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["rid", "near", "shared", "part", "side", "host", "path", "hashes"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Compares rows with their neighbours in the task; the first and last row also leave."""
         before = row = None
         part = 0
         rows: list[tuple] = []
-        nothing = (None,) * 5
 
         def settle(prev, own, after) -> None:
             near = [(nearness(own[2], x[2]), -i, x) for i, x in enumerate((prev, after)) if x is not None and x[1] == own[1]]
-            if near and (found := against(own, max(near, key=lambda t: t[:2])[2])):
-                rows.append((*found, *nothing))
+            if near:
+                _, i, x = max(near, key=lambda t: t[:2])
+                rows.append(against(own, x, i == 0))
+
+        def edge(row: tuple, side: int) -> tuple:
+            return row[0], None, None, None, None, part, side, *row[1:]
 
         for batch in batches:
             part = batch.column("part")[0].as_py() if batch.num_rows else part
             for new in zip(*(batch.column(c).to_pylist() for c in fields), strict=True):
                 if row is None:
-                    rows.append((new[0], None, None, part, 0, *new[1:]))
+                    rows.append(edge(new, 0))
                 else:
                     settle(before, row, new)
                 before, row = row, new
@@ -267,48 +293,60 @@ def differences(parsed: DataFrame) -> DataFrame:
                 rows = []
         if row is not None:
             settle(before, row, None)
-            rows.append((row[0], None, None, part, 1, *row[1:]))
+            rows.append(edge(row, 1))
             yield emit(rows)
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for r in batch.to_pylist():
-                if f := against(tuple(r[c] for c in fields), tuple(r[f"o_{c}"] for c in fields)):
-                    found.append((*f, *(None,) * 5))
-            if found:
+            if found := [against(tuple(r[c] for c in fields), tuple(r[f"o_{c}"] for c in fields), r["side"] == 0) for r in batch.to_pylist() if r["host"] == r["o_host"]]:
                 yield emit(found)
 
-    order = ["host", "path", "rid"]
-    ranged = parsed.where("host is not null").select(*fields).repartitionByRange(*order).sortWithinPartitions(*order)
-    found = store(ranged.withColumn("part", F.spark_partition_id()).mapInArrow(run, out_schema), "html-pairs")
+    order = ["host", "path", "page_id", "digest"]
+    ranged = parsed.where("host is not null").select(*fields, "page_id", "digest").repartitionByRange(*order).sortWithinPartitions(*order)
+    found = store(ranged.select(*fields, F.spark_partition_id().alias("part")).mapInArrow(run, out_schema), "html-pairs")
     # two rows a task meet their neighbours in the tasks before and after
     ends, along = found.where("part is not null"), Window.orderBy("part", "side")
     other = F.struct(*fields)
     ends = ends.withColumn("o", F.when(F.col("side") == 0, F.lag(other).over(along)).otherwise(F.lead(other).over(along))).where("o is not null")
-    ends = ends.select(*fields, *[F.col(f"o.{c}").alias(f"o_{c}") for c in fields])
-    every = found.where("part is null").select("rid", "near", "shared").union(ends.mapInArrow(edges, out_schema).select("rid", "near", "shared"))
-    return every.groupBy("rid").agg(F.max_by("shared", "near").alias("shared"))
-
-
-def extract(pages: DataFrame) -> DataFrame:
+    ends = ends.select("side", *fields, *[F.col(f"o.{c}").alias(f"o_{c}") for c in fields])
+    kept = ["rid", "near", "host", "at", "hash", "kind"]
+    every = found.where("part is null").select(*kept).union(ends.mapInArrow(edges, out_schema).select(*kept))
+    best = every.groupBy("rid").agg(F.max_by(F.struct("host", "at", "hash", "kind"), "near").alias("b"))
+    lines = best.select("rid", "b.host", "b.hash", "b.kind", F.posexplode("b.at").alias("i", "at"))
+    return lines.select("rid", "host", F.get("hash", F.col("i")).alias("hash"), F.conv(F.hex(F.expr("substring(kind, i + 1, 1)")), 16, 10).cast("int").alias("kind"), "at")
+
+
+def template(parsed: DataFrame, shared: DataFrame) -> DataFrame:
+    """rid, cut: places of the shared lines that are the host's template."""
+    each = parsed.where("host is not null").groupBy("host", "digest").agg(F.first("hashes").alias("hashes"))
+    each = store(each, "html-distinct")  # pages of equal lines count once
+    often = each.select("host", F.explode(F.array_distinct("hashes")).alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("pages")).where("pages > 1")
+    hosts = each.groupBy("host").agg(F.count("*").alias("all"))
+    seen = often.join(hosts, "host").where(F.col("pages") >= F.least(F.lit(3), F.col("all")))
+    cut = shared.join(seen, ["host", "hash"]).where((F.col("kind") != NORMAL) | (F.col("pages") >= F.greatest(F.lit(3), F.col("all") / 2)))
+    return cut.groupBy("rid").agg(F.collect_list("at").alias("cut"))
+
+
+def extract(pages: DataFrame, differencing: bool = True) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages.
 
     Character references are decoded, white space within a block is one space, blocks are trimmed
     and joined by a line feed. Null html is empty and gives an empty text; pages without a host, or
     alone on it, are told by their markup only; repeated rows are pages of their own; extra columns
-    are ignored.
+    are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for kinds, packed, shared in zip(*(batch.column(c).to_pylist() for c in ("kinds", "packed", "shared")), strict=True):
+            for kinds, packed, cut in zip(*(batch.column(c).to_pylist() for c in ("kinds", "packed", "cut")), strict=True):
                 lines = list(zip(zlib.decompress(packed).decode().split(SEPARATOR), kinds)) if kinds else []
-                texts.append("\n".join(main_lines(lines, [bool(x) for x in shared] if shared is not None else [False] * len(lines))))
+                texts.append("\n".join(main_lines(lines, set(cut or ()))))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     parsed = parse(pages)
-    shared = bounded_broadcast(store(differences(parsed), "html-shared"), 50_000)
-    rows = parsed.select("rid", "page_id", "url", "kinds", "packed").join(shared, "rid", "left")
-    return rows.select("page_id", "url", "kinds", "packed", "shared").mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")
+    cut = store(template(parsed, differences(parsed)), "html-template") if differencing else None
+    none = F.lit(None).cast("array<int>").alias("cut")
+    rows = parsed.select("rid", "page_id", "url", "kinds", "packed")
+    rows = rows.join(cut, "rid", "left") if cut is not None else rows.select("*", none)
+    return rows.select("page_id", "url", "kinds", "packed", "cut").mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")
