@@ -38,12 +38,21 @@ def from_verification(issues: DataFrame) -> DataFrame:
 
 
 def from_discrepancies(found: DataFrame) -> DataFrame:
-    """Lines of an order and its invoice: a price gap counts per unit, a quantity gap per price."""
+    """Lines of an order and its invoice: a price gap counts per unit, a quantity gap per price.
+    Invoiced but not ordered: critical, priced, and of the document as a whole; ordered but not
+    invoiced: a warning."""
     qty = F.coalesce(F.nullif("inv_qty", F.lit(0)), F.nullif("po_qty", F.lit(0)))
     price = F.coalesce(F.nullif("po_price_k", F.lit(0)), F.nullif("inv_price_k", F.lit(0)))
     gap = F.col("inv_value") - F.col("po_value")
     amount = F.when(F.col("field") == "unit_price", gap * qty).when(F.col("field") == "quantity", gap * price).when(F.col("field").isin("total", "total_amount"), gap)
-    return _finding(found, kind=_named(FIELD_KINDS, F.col("field"), F.lit("OTHER")), severity=F.col("severity"), field=F.col("field"), source="po_match", basis="cross_source", expected=F.col("po_value").cast("string"), actual=F.col("inv_value").cast("string"), amount_k=amount, line=F.col("line"))
+    kind, field, expected, actual = _named(FIELD_KINDS, F.col("field"), F.lit("OTHER")), F.col("field"), F.col("po_value").cast("string"), F.col("inv_value").cast("string")
+    if "inv_sku" in found.columns:
+        extra, missing = field == "_extra_invoice_line", field == "_missing_po_line"
+        kind = F.when(extra, "NOT_IN_PO").when(missing, "MISSING_ITEM").otherwise(kind)
+        amount = F.when(extra, F.col("inv_value")).when(missing, F.lit(None)).otherwise(amount)
+        expected, actual = F.when(missing, F.col("po_sku")).when(~extra, expected), F.when(extra, F.col("inv_sku")).when(~missing, actual)
+        field = F.when(extra | missing, "items").otherwise(field)
+    return _finding(found, kind=kind, severity=F.col("severity"), field=field, source="po_match", basis="cross_source", expected=expected, actual=actual, amount_k=amount.cast("long"), line=F.col("line"))
 
 
 def from_scalars(checks: DataFrame) -> DataFrame:
@@ -80,13 +89,15 @@ def net_impact(findings: DataFrame, basis: str) -> DataFrame:
 
 
 def decide(documents: DataFrame, findings: DataFrame) -> DataFrame:
-    """doc_id, verdict, financial_k, internal_k, n_findings for every document."""
-    f = with_flags(findings)
-    agg = f.groupBy("doc_id").agg(F.bool_or("holds_payment").alias("hold"), F.bool_or(F.col("severity") == "critical").alias("critical"), F.count("*").alias("n_findings"))
-    money = net_impact(findings, "cross_source").withColumnRenamed("impact_k", "financial_k")
-    inner = net_impact(findings, "single_document").withColumnRenamed("impact_k", "internal_k")
-    out = documents.select("doc_id").join(agg, "doc_id", "left").join(money, "doc_id", "left").join(inner, "doc_id", "left")
+    """doc_id, verdict, financial_k, internal_k, n_findings for every document. Findings are read
+    once: first a row for each line of a document, then one for each document."""
+    priced = F.coalesce(F.abs("amount_k") >= 1, F.lit(False))
+    f = with_flags(findings).withColumn("size", F.when(priced, F.struct(F.abs("amount_k"), "amount_k")))
+    lines = f.groupBy("doc_id", "line", "basis").agg(F.bool_or("holds_payment").alias("hold"), F.bool_or(F.col("severity") == "critical").alias("critical"), F.count("*").alias("n"), F.max("size").getField("amount_k").alias("k"))
+    of = lambda basis: F.coalesce(F.sum(F.when((F.col("basis") == basis) & F.col("line").isNotNull(), F.col("k"))), F.max(F.when((F.col("basis") == basis) & F.col("line").isNull(), F.col("k"))))
+    agg = lines.groupBy("doc_id").agg(F.bool_or("hold").alias("hold"), F.bool_or("critical").alias("critical"), F.sum("n").alias("n_findings"), of("cross_source").alias("financial_k"), of("single_document").alias("internal_k"))
     verdict = F.when(F.col("hold"), "HOLD").when(F.col("critical"), "REVIEW").otherwise("PAY")
+    out = documents.select("doc_id").join(agg, "doc_id", "left")
     return out.select("doc_id", verdict.alias("verdict"), F.coalesce("financial_k", F.lit(0)).alias("financial_k"), F.coalesce("internal_k", F.lit(0)).alias("internal_k"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"))
 
 

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +59,85 @@ def greedy_pairs(scores: DataFrame, threshold: float = FUZZY) -> DataFrame:
     return lines.select("doc_id", F.explode(F.aggregate("pos", none, step)).alias("m")).select("doc_id", "m.*")
 
 
+def first_fit(po: list[dict], inv: list[dict], threshold: float = FUZZY) -> list[tuple[int, int]]:
+    """(order line, invoice line) in order of the order's lines: each takes the first unused line of
+    its SKU, else the unused line whose description is most like its own, if over the threshold."""
+    free, by_sku, out = dict.fromkeys(range(len(inv))), defaultdict(list), []
+    key = lambda x: (x["sku"] or "").strip().lower()
+    text = lambda x: (x["description"] or "").strip().lower()
+    for j, x in reversed(list(enumerate(inv))):
+        by_sku[key(x)].append(j)
+    for i, x in enumerate(po):
+        best, at = threshold, None
+        same = by_sku[key(x)] if key(x) else []
+        while same and same[-1] not in free:
+            same.pop()
+        if same:
+            at = same.pop()
+        elif a := text(x):
+            matcher = SequenceMatcher(None, a, "")
+            for j in free:
+                if not (b := text(inv[j])) or 2 * min(len(a), len(b)) <= best * (len(a) + len(b)):
+                    continue
+                if a == b:
+                    ratio = 1.0
+                else:
+                    matcher = SequenceMatcher(None, a, b)
+                    ratio = matcher.ratio() if matcher.quick_ratio() > best else 0.0
+                if ratio > best:
+                    best, at = ratio, j
+                    if ratio == 1.0:
+                        break
+        if at is not None:
+            del free[at]
+            out.append((i, at))
+    return out
+
+
+LINE = ("pos", "sku", "qty", "price_k", "total_k", "description")
+
+
+def match_lines(po: DataFrame, inv: DataFrame, threshold: float = FUZZY) -> DataFrame:
+    """One row per pair or lone line of each document: doc_id, side ('pair', 'po' or 'inv'), line
+    (number of the pair from 0), po_ and inv_ pos, sku, qty, price_k, total_k, description, and sim,
+    the likeness of a pair's descriptions. Lines of both sides meet in one row of their document, the
+    only shuffle; a document has as many rows as it has lines."""
+    side = lambda df, s: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*LINE))).alias(s))
+    docs = side(po, "po").join(side(inv, "inv"), "doc_id", "full")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found = [], []
+            for k, (a, b) in enumerate(zip(batch.column("po").to_pylist(), batch.column("inv").to_pylist(), strict=True)):
+                a, b = a or [], b or []
+                pairs = first_fit(a, b, threshold)
+                x, y = {i for i, _ in pairs}, {j for _, j in pairs}
+                rows = [("pair", n, i, j, _alike(a[i]["description"], b[j]["description"])) for n, (i, j) in enumerate(pairs)]
+                rows += [("po", None, i, None, None) for i in range(len(a)) if i not in x] + [("inv", None, None, j, None) for j in range(len(b)) if j not in y]
+                ids += [k] * len(rows)
+                found += rows
+            made = [pa.array([r[c] for r in found], t) for c, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))]
+            taken = batch.take(pa.array(ids, pa.int64()))
+            lines = [_rows_at(taken.column(s), made[c]) for s, c in (("po", 2), ("inv", 3))]
+            yield pa.RecordBatch.from_arrays([taken.column("doc_id"), made[0], made[1], *lines, made[4]], ["doc_id", "side", "line", "po", "inv", "sim"])
+
+    item = lambda df, s: df.schema[s].dataType.elementType.simpleString()
+    out = docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, side string, line long, po {item(docs, 'po')}, inv {item(docs, 'inv')}, sim double")
+    return out.select("doc_id", "side", "line", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("po", "inv") for c in LINE], "sim")
+
+
+def _rows_at(lists: pa.Array, place: pa.Array) -> pa.Array:
+    """The element at a place of each list, null where there is none."""
+    values = lists.values
+    first = pa.array(lists.offsets.to_numpy()[:-1], pa.int64())
+    return values.take(pa.compute.add(first, place.cast(pa.int64())))
+
+
+def _alike(a: str | None, b: str | None) -> float:
+    x, y = (str(t).strip().lower() for t in (a, b))  # a missing text reads `none`
+    return 0.0 if not x or not y else 1.0 if x == y else SequenceMatcher(None, x, y).ratio()
+
+
 def unmatched(lines: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
     """lines of one side ('po' or 'inv') that no pair has."""
     return lines.join(pairs.select("doc_id", F.col(f"{side}_pos").alias("pos")), ["doc_id", "pos"], "left_anti")
@@ -67,7 +152,9 @@ def paired(po: DataFrame, inv: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def discrepancies(both: DataFrame) -> DataFrame:
     """doc_id, line, field, po_value, inv_value, severity, diff_bp (hundredths of a per cent of the
-    order's value): quantities, prices and totals that aren't close, or that one side lacks."""
+    order's value): quantities, prices and totals that aren't close, or that one side lacks, and,
+    where pairs have sim, descriptions under 80 % alike. Rows of match_lines that are lone become one
+    row, _extra_invoice_line or _missing_po_line."""
 
     def of(field: str, column: str, tolerance: float, severity: str) -> Column:
         a, b = F.col(f"po_{column}"), F.col(f"inv_{column}")
@@ -78,9 +165,20 @@ def discrepancies(both: DataFrame) -> DataFrame:
 
     found = F.array(of("quantity", "qty", QUANTITY, "critical"), of("unit_price", "price_k", PRICE, "critical"), of("total", "total_k", PRICE, "warning"))
     carried = ["doc_id", "line", "po_qty", "inv_qty", "po_price_k", "inv_price_k"]
+    if "side" in both.columns:
+        null, like = F.lit(None).cast("long"), found[0]
+        one = lambda field, severity, value: F.struct(F.lit(field).alias("field"), F.when(F.col("side") == "po", value).alias("po_value"), F.when(F.col("side") == "inv", value).alias("inv_value"), F.lit(severity).alias("severity"), null.alias("diff_bp")).cast(_type_of(both, like))
+        text = F.when(F.col("sim") < SAME_TEXT, one("description", "warning", null))
+        lone = F.when(F.col("side") == "po", one("_missing_po_line", "warning", F.col("po_total_k"))).otherwise(one("_extra_invoice_line", "critical", F.col("inv_total_k")))
+        found = F.when(F.col("side") == "pair", F.concat(found, F.array(text))).otherwise(F.array(lone))
+        carried += ["po_sku", "inv_sku"]
     return both.select(*carried, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("d")).select(*carried, "d.*")
 
 
+def _type_of(df: DataFrame, c: Column):
+    return df.select(c.alias("x")).schema["x"].dataType
+
+
 def description_issues(pairs: DataFrame) -> DataFrame:
     """Pairs (doc_id, line, a, b) whose texts are less than 80 % alike; a missing text reads `none`."""
     text = lambda c: F.lower(F.trim(F.coalesce(c, F.lit("None"))))
@@ -94,15 +192,22 @@ def match_score(sim: Column, po_qty: Column, inv_qty: Column) -> Column:
 
 
 def scalar_checks(po: DataFrame, inv: DataFrame) -> DataFrame:
-    """doc_id, field, matched, severity: totals (net or gross within 2 %, never critical), and
-    currencies under their aliases. Checks need both sides."""
-    a = po.select("doc_id", F.col("amount_k").alias("a_total"), F.upper(F.trim("currency")).alias("a_cur"))
-    b = inv.select("doc_id", F.col("amount_k").alias("b_total"), F.col("sub_k").alias("b_sub"), F.upper(F.trim("currency")).alias("b_cur"))
+    """doc_id, field, matched, severity: totals (net or gross within 2 %, never critical),
+    currencies under their aliases and, where both sides have a column party, the names of supplier
+    and vendor. Checks need both sides."""
+    named = "party" in po.columns and "party" in inv.columns
+    party = lambda s: [normalise_vendor(F.nullif("party", F.lit(""))).alias(s)] if named else []
+    a = po.select("doc_id", F.col("amount_k").alias("a_total"), F.upper(F.trim("currency")).alias("a_cur"), *party("a_party"))
+    b = inv.select("doc_id", F.col("amount_k").alias("b_total"), F.col("sub_k").alias("b_sub"), F.upper(F.trim("currency")).alias("b_cur"), *party("b_party"))
     near = lambda x: numeric_close(F.col("a_total").cast("double"), F.col(x).cast("double"), PRICE)
     total, cur = near("b_total") | near("b_sub"), normalise_currency(F.col("a_cur")) == normalise_currency(F.col("b_cur"))
     check = lambda f, ok, bad: F.struct(F.lit(f).alias("field"), ok.alias("matched"), F.when(ok, "ok").otherwise(bad).alias("severity"))
-    found = F.array(F.when(F.col("a_total").isNotNull() & F.col("b_total").isNotNull(), check("total_amount", total, "warning")), F.when((F.col("a_cur") != "") & (F.col("b_cur") != ""), check("currency", cur, "critical")))
-    return a.join(b, "doc_id").select("doc_id", "a_total", "b_total", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("c")).select("doc_id", "c.*", "a_total", "b_total")
+    found = [F.when(F.col("a_total").isNotNull() & F.col("b_total").isNotNull(), check("total_amount", total, "warning")), F.when((F.col("a_cur") != "") & (F.col("b_cur") != ""), check("currency", cur, "critical"))]
+    both = a.join(b, "doc_id")
+    if named:
+        both = both.withColumn("alike", text_similarity(F.col("a_party"), F.col("b_party")))
+        found.append(F.when(F.col("alike").isNotNull(), check("supplier_vendor", F.col("alike") >= SAME_PARTY, "warning")))
+    return both.select("doc_id", "a_total", "b_total", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("c")).select("doc_id", "c.*", "a_total", "b_total")
 
 
 def supplier_check(pairs: DataFrame) -> DataFrame:
@@ -112,12 +217,14 @@ def supplier_check(pairs: DataFrame) -> DataFrame:
     return scored.select("doc_id", F.round("sim", 3).alias("similarity"), (F.col("sim") >= SAME_PARTY).alias("matched"))
 
 
-def summary(docs: DataFrame, pairs: DataFrame, lone_po: DataFrame, lone_inv: DataFrame, found: DataFrame, scalars: DataFrame) -> DataFrame:
-    """doc_id, counts, match_rate in hundredths of a per cent, overall_status."""
-    n = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
-    both = found.select("doc_id", "severity").unionByName(scalars.select("doc_id", "severity"))
-    sev = both.groupBy("doc_id").agg(F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "warning").alias("warnings"))
-    out = docs.select("doc_id").join(n(pairs, "matched"), "doc_id", "left").join(n(lone_po, "unmatched_po"), "doc_id", "left").join(n(lone_inv, "unmatched_inv"), "doc_id", "left").join(sev, "doc_id", "left").fillna(0)
+def summary(docs: DataFrame, lines: DataFrame, scalars: DataFrame) -> DataFrame:
+    """doc_id, counts, match_rate in hundredths of a per cent, overall_status, from match_lines()
+    and scalar_checks()."""
+    found = discrepancies(lines).where(~F.col("field").startswith("_")).groupBy("doc_id").agg(F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    n = lines.groupBy("doc_id").agg(*[F.count_if(F.col("side") == s).alias(c) for s, c in (("pair", "matched"), ("po", "unmatched_po"), ("inv", "unmatched_inv"))])
+    head = scalars.groupBy("doc_id").agg(F.count_if(F.col("severity") == "critical").alias("sc"), F.count_if(F.col("severity") == "warning").alias("sw"))
+    out = docs.select("doc_id").join(n, "doc_id", "left").join(found, "doc_id", "left").join(head, "doc_id", "left").fillna(0)
+    out = out.withColumns({"critical": F.col("critical") + F.col("sc"), "warnings": F.col("warnings") + F.col("sw")}).drop("sc", "sw")
     of = F.greatest(F.col("matched") + F.col("unmatched_po"), F.lit(1))
     status = F.when(F.col("critical") > 0, "REJECT").when(F.col("warnings") + F.col("unmatched_po") + F.col("unmatched_inv") > 0, "REVIEW").otherwise("APPROVE")
     return out.withColumns({"match_rate_bp": F.floor((F.col("matched") * 20000 + of) / (2 * of)), "overall_status": status})

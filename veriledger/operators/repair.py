@@ -6,21 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriledger.functions.text import as_date
-from veriledger.operators.rules import is_correctable, item_sum
+from veriledger.operators.rules import _printed, computed, is_correctable, item_sum
 
 
 def repair_arithmetic(documents: DataFrame) -> DataFrame:
     """Fill missing line totals, a missing subtotal (not on orders, which have none) and a missing
-    total over 0. A printed figure is never replaced."""
+    total over 0. What is printed is never replaced, not even if it isn't a number."""
 
     def filled(i: Column) -> Column:
-        computed = i["qty"] * i["price_k"] - F.coalesce(i["disc_k"], F.lit(0))
-        return i.withField("total_k", F.coalesce(i["total_k"], computed))
+        return i.withField("total_k", F.coalesce(i["total_k"], computed(i) - F.coalesce(i["disc_k"], F.lit(0))))
 
     out = documents.withColumn("items", F.transform("items", filled))
-    out = out.withColumn("sub_k", F.when((F.col("doc_type") != "po") & (F.size("items") > 0), F.coalesce("sub_k", item_sum())).otherwise(F.col("sub_k")))
+    out = out.withColumn("sub_k", F.when((F.col("doc_type") != "po") & (F.size("items") > 0), F.coalesce("sub_k", F.when(_printed(documents, "sub").isNull(), item_sum()))).otherwise(F.col("sub_k")))
     expected = F.coalesce(F.col("sub_k") + F.col("tax_k"), F.col("sub_k"), item_sum())
-    return out.withColumn("amount_k", F.coalesce("amount_k", F.when(expected > 0, expected)))
+    return out.withColumn("amount_k", F.coalesce("amount_k", F.when((expected > 0) & _printed(documents, "amount").isNull(), expected)))
 
 
 def flatten(documents: DataFrame) -> DataFrame:

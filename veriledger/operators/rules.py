@@ -18,6 +18,9 @@ MOST_ITEMS, MOST_AMOUNT_K = 50, 1_000_000_000
 NUMBER = {"invoice": "invoice_number", "po": "po_number", "receipt": "receipt_number"}
 PARTY = {"invoice": "vendor_name", "po": "supplier_name", "receipt": "store_name"}
 TAX = {"invoice": "vendor_tax_id", "po": "supplier_tax_id", "receipt": "store_tax_id"}
+#: All fields that may hold a tax number, and the amounts that must be numbers.
+TAX_FIELDS = ("vendor_tax_id", "buyer_tax_id", "supplier_tax_id", "store_tax_id", "tax_id")
+AMOUNTS = {"subtotal": "sub", "tax_amount": "tax", "total_amount": "amount", "change_amount": "change"}
 NOT_CORRECTABLE = ("tax_id_checksum_invalid",)
 ISSUE = "struct<rule:string,field:string,severity:string,expected_k:bigint,actual_k:bigint,detail:string>"
 
@@ -26,7 +29,7 @@ def assemble(headers: DataFrame, lines: DataFrame) -> DataFrame:
     """headers with `items`, their lines in order of pos; empty if there is none."""
     item = F.struct("pos", "sku", "qty", "price_k", "disc_k", "total_k")
     grouped = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    none = F.array().cast("array<struct<pos:bigint,sku:string,qty:bigint,price_k:bigint,disc_k:bigint,total_k:bigint>>")
+    none = F.array().cast(grouped.schema["items"].dataType)
     return headers.join(grouped, "doc_id", "left").withColumn("items", F.coalesce("items", none))
 
 
@@ -45,14 +48,25 @@ def _off(a: Column, b: Column) -> Column:
     return F.abs(a - b) > TOLERANCE
 
 
+def computed(i: Column) -> Column:
+    """A line's quantity, which may have a fraction, times its price, in whole kuruş."""
+    return F.round(i["qty"].cast("decimal(24,6)") * i["price_k"], 0).cast("long")
+
+
+def _printed(documents: DataFrame, name: str) -> Column:
+    """What stands for an amount that isn't a number: null if it is one, or the column is absent."""
+    return F.nullif(F.trim(f"{name}_text"), F.lit("")) if f"{name}_text" in documents.columns else F.lit(None).cast("string")
+
+
 def item_sum() -> Column:
     return F.aggregate("items", F.lit(0).cast("long"), lambda s, i: s + F.coalesce(i["total_k"], F.lit(0)))
 
 
-def required_issues() -> list[Column]:
-    """A critical issue for each of five fields that is null or empty."""
+def required_issues(documents: DataFrame) -> list[Column]:
+    """A critical issue for each of five fields that is null or empty; a total that isn't a number
+    is there."""
     blank = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
-    tests = [(blank("number"), _by_type(NUMBER)), (blank("date_text"), "date"), (blank("party"), _by_type(PARTY)), (F.size("items") == 0, "items"), (F.col("amount_k").isNull(), "total_amount")]
+    tests = [(blank("number"), _by_type(NUMBER)), (blank("date_text"), "date"), (blank("party"), _by_type(PARTY)), (F.size("items") == 0, "items"), (F.col("amount_k").isNull() & _printed(documents, "amount").isNull(), "total_amount")]
     return [F.when(t, _issue("required_field_missing", f, "critical")) for t, f in tests]
 
 
@@ -64,8 +78,14 @@ def date_issues(column: str = "date_text", field: str = "date") -> list[Column]:
     return [F.when(c.isNotNull() & rule.isNotNull(), _issue(rule, field, "warning", detail=c))]
 
 
-def amount_issues() -> list[Column]:
-    return [F.when(F.col(c) < 0, _issue("negative_amount", f, "warning", actual=F.col(c))) for c, f in (("sub_k", "subtotal"), ("tax_k", "tax_amount"), ("amount_k", "total_amount"))]
+def amount_issues(documents: DataFrame) -> list[Column]:
+    """Amounts that aren't numbers (columns named _text hold what stands there), or under 0."""
+    out = []
+    for field, name in AMOUNTS.items():
+        bad = _printed(documents, name)
+        k = F.col(f"{name}_k") if f"{name}_k" in documents.columns else F.lit(None).cast("long")
+        out.append(F.when(bad.isNotNull(), _issue("numeric_invalid", field, "warning", detail=bad)).when(k < 0, _issue("negative_amount", field, "warning", actual=k)))
+    return out
 
 
 def item_issues() -> Column:
@@ -75,7 +95,7 @@ def item_issues() -> Column:
 
     def of(i: Column) -> Column:
         disc = F.when(invoice, F.coalesce(i["disc_k"], F.lit(0))).otherwise(0)
-        expected = i["qty"] * i["price_k"] - disc
+        expected = computed(i) - disc
         at = lambda f: F.concat(F.lit("items["), i["pos"].cast("string"), F.lit("]." + f))
         return F.array(F.when(_off(expected, i["total_k"]), _issue("item_total_mismatch", at("total"), "critical", expected, i["total_k"])), F.when((disc < 0) & expected.isNotNull() & i["total_k"].isNotNull(), _issue("negative_discount", at("discount"), "warning", actual=disc)))
 
@@ -102,20 +122,32 @@ def plausibility_issues(most_items: int = MOST_ITEMS) -> list[Column]:
     ]
 
 
-def tax_id_issues() -> list[Column]:
+def _judged(number: Column, field: Column) -> Column:
+    found = classify_tax_id(number)
+    judged = F.when(found["kind"] == "label_captured", _issue("tax_id_label_captured", field, "warning", detail=found["normalized"])).when(found["valid"].isNull(), _issue("tax_id_unverifiable", field, "info", detail=number)).when(~found["valid"], _issue("tax_id_checksum_invalid", field, "critical", detail=number))
+    return F.when(F.coalesce(F.trim(number) != "", F.lit(False)), judged)
+
+
+def tax_id_issues(documents: DataFrame) -> list[Column]:
     """A seller's number missing on a lira invoice; one whose check digit is wrong, that came with
-    its label, or that can't be judged."""
+    its label, or that can't be judged; the same for the other numbers, of which there may be a
+    column each, or a map other_tax_ids."""
     blank = F.coalesce(F.trim("tax_id") == "", F.lit(True))
     lira = F.upper(F.trim(F.coalesce("currency", F.lit("")))) == "TRY"
-    found, field = classify_tax_id(F.col("tax_id")), _by_type(TAX)
-    judged = F.when(found["kind"] == "label_captured", _issue("tax_id_label_captured", field, "warning", detail=found["normalized"])).when(found["valid"].isNull(), _issue("tax_id_unverifiable", field, "info", detail=F.col("tax_id"))).when(~found["valid"], _issue("tax_id_checksum_invalid", field, "critical", detail=F.col("tax_id")))
-    return [F.when(lira & blank & (F.col("doc_type") == "invoice"), _issue("seller_tax_id_missing", "vendor_tax_id", "warning")), F.when(~blank, judged)]
+    other = []
+    for field in TAX_FIELDS:
+        if field != "tax_id" and field in documents.columns:
+            other.append(_judged(F.col(field), F.lit(field)))
+        elif "other_tax_ids" in documents.columns:
+            other.append(_judged(F.try_element_at("other_tax_ids", F.lit(field)), F.lit(field)))
+    return [F.when(lira & blank & (F.col("doc_type") == "invoice"), _issue("seller_tax_id_missing", "vendor_tax_id", "warning")), _judged(F.col("tax_id"), _by_type(TAX)), *other]
 
 
 def verify(documents: DataFrame, most_items: int = MOST_ITEMS) -> DataFrame:
     """documents with issues (in the order of the rules), critical, warning, info, valid, score."""
-    head = F.array(*required_issues(), *date_issues(), *amount_issues())
-    tail = F.array(*sum_issues(), *plausibility_issues(most_items), *tax_id_issues())
+    dates = [d for c, f in (("date_text", "date"), ("due_text", "due_date"), ("delivery_text", "delivery_date")) if c in documents.columns for d in date_issues(c, f)]
+    head = F.array(*required_issues(documents), *dates, *amount_issues(documents))
+    tail = F.array(*sum_issues(), *plausibility_issues(most_items), *tax_id_issues(documents))
     out = documents.withColumn("issues", F.filter(F.concat(head, item_issues(), tail), lambda x: x.isNotNull()))
     count = lambda s: F.size(F.filter("issues", lambda x: x["severity"] == s))
     out = out.withColumns({s: count(s) for s in ("critical", "warning", "info")})

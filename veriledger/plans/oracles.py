@@ -62,10 +62,11 @@ tax AS (SELECT suppkey, name, tax_id, CASE WHEN labelled THEN 'label_captured' W
   CASE WHEN labelled THEN inside ELSE norm END AS normalized, CASE WHEN length(norm) = 10 THEN {vkn("norm")} WHEN length(norm) = 11 THEN {tckn("norm")} END AS valid FROM judged)"""
 
 put("FN-01_name", f"WITH {NAMES} SELECT id, {name_key('name')} AS name_key FROM names")
-put("FN-02_doc_number", f"SELECT doc_id AS id, {number_key('doc_number')} AS number_key FROM incoming", "incoming")
-put("FN-03_number_core", f"SELECT doc_id AS id, {number_core('doc_number')} AS number_core FROM incoming", "incoming")
+_NUMBERS = "(SELECT row_id AS id, doc_number, supplier FROM ledger UNION ALL SELECT doc_id, doc_number, supplier FROM incoming)"
+put("FN-02_doc_number", f"SELECT id, {number_key('doc_number')} AS number_key FROM {_NUMBERS}", "incoming")
+put("FN-03_number_core", f"SELECT id, {number_core('doc_number')} AS number_core FROM {_NUMBERS}", "incoming")
 put("FN-04_supplier_key", f"SELECT suppkey, CASE WHEN suppkey % 3 <> 0 AND regexp_replace(tax_id, '[^0-9]', '', 'g') <> '' THEN regexp_replace(tax_id, '[^0-9]', '', 'g') ELSE {name_key('name')} END AS supplier_key FROM tax_ids", "tax_ids")
-put("FN-05_identity_key", f"SELECT doc_id AS id, supplier || '|' || {number_key('doc_number')} AS identity_key FROM incoming", "incoming")
+put("FN-05_identity_key", f"SELECT id, supplier || '|' || {number_key('doc_number')} AS identity_key FROM {_NUMBERS}", "incoming")
 put("FN-06_amount_key", "SELECT o_orderkey, CAST(sign(o_totalprice) * floor(abs(o_totalprice) * 100 + 0.5) AS BIGINT) AS amount_key FROM orders")
 put("FN-07_as_date", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 3 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS issue_date FROM orders")
 put("FN-08_to_number", """SELECT event_id, CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN NULL ELSE CAST(((CASE WHEN event_id % 3 = 0 THEN '1' ELSE '' END || CAST(event_id % 1000 AS VARCHAR) || '.5')::DOUBLE * 10) AS BIGINT) END AS tenths,
@@ -76,7 +77,7 @@ put("FN-11_tckn", f"SELECT o_orderkey, {tckn('x')} AS valid FROM (SELECT o_order
 put("FN-12_classify_tax_id", f"WITH {TAX} SELECT suppkey, kind, normalized, valid FROM tax", "tax_ids")
 put("FN-13_currency", f"SELECT doc_id, {case('c', CURRENCIES, 'c')} AS currency FROM (SELECT doc_id, trim(upper(coalesce(currency, 'euro'))) AS c FROM inv_docs)", "inv_docs")
 put("FN-14_vendor", f"WITH {NAMES} SELECT id, translate(trim(lower(name)), 'ğĞşŞıİöÖüÜçÇ', 'gGsSiIoOuUcC') AS vendor FROM names")
-put("FN-15_text", "SELECT doc_id, md5(trim(regexp_replace(lower(substr(text, 1, 200)), '\\s+', ' ', 'g'))) AS normal FROM documents")
+put("FN-15_text", "SELECT doc_id, md5(trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'))) AS normal FROM documents")
 put("FN-17_numeric_close", "SELECT i.doc_id, i.pos, abs(p.price_k - i.price_k) / greatest(abs(p.price_k), abs(i.price_k), 1e-9) <= 0.02 AS close FROM po_items p JOIN inv_items i ON p.doc_id = i.doc_id AND p.pos = i.pos", "po_items")
 put("FN-18_money", "SELECT l_orderkey, CAST(sum(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS BIGINT) / 100.0::DOUBLE AS money FROM lineitem GROUP BY l_orderkey")
 put("FN-19_turkish_money", """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '-' ELSE '' END || translate(format('{:,}', k // 100), ',', '.') || ',' || lpad(CAST(k % 100 AS VARCHAR), 2, '0') || ' TL' AS money
@@ -103,10 +104,11 @@ issues AS (
   UNION ALL SELECT doc_id, doc_type, 'required_field_missing', 'date', 'critical', NULL, NULL FROM dd WHERE coalesce(date_text, '') = ''
   UNION ALL SELECT doc_id, doc_type, 'required_field_missing', {TYPE("vendor_name", "supplier_name", "store_name")}, 'critical', NULL, NULL FROM dd WHERE coalesce(party, '') = ''
   UNION ALL SELECT doc_id, doc_type, 'required_field_missing', 'items', 'critical', NULL, NULL FROM dd WHERE n_items = 0
-  UNION ALL SELECT doc_id, doc_type, 'required_field_missing', 'total_amount', 'critical', NULL, NULL FROM dd WHERE amount_k IS NULL
-  UNION ALL SELECT doc_id, doc_type, r, 'date', 'warning', NULL, NULL FROM (SELECT doc_id, doc_type, CASE WHEN NOT regexp_full_match(date_text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN 'date_format_invalid'
-    WHEN try_strptime(date_text, '%Y-%m-%d') IS NULL THEN 'date_invalid' WHEN year(try_strptime(date_text, '%Y-%m-%d')) NOT BETWEEN 2000 AND 2030 THEN 'date_implausible' END AS r FROM dd WHERE date_text IS NOT NULL) WHERE r IS NOT NULL
-  UNION ALL SELECT doc_id, doc_type, 'negative_amount', f, 'warning', NULL, v FROM (SELECT doc_id, doc_type, unnest(['subtotal', 'tax_amount', 'total_amount']) AS f, unnest([sub_k, tax_k, amount_k]) AS v FROM dd) WHERE v < 0
+  UNION ALL SELECT doc_id, doc_type, 'required_field_missing', 'total_amount', 'critical', NULL, NULL FROM dd WHERE amount_k IS NULL AND amount_text IS NULL
+  UNION ALL SELECT doc_id, doc_type, r, f, 'warning', NULL, NULL FROM (SELECT doc_id, doc_type, f, CASE WHEN NOT regexp_full_match(date_text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN 'date_format_invalid'
+    WHEN try_strptime(date_text, '%Y-%m-%d') IS NULL THEN 'date_invalid' WHEN year(try_strptime(date_text, '%Y-%m-%d')) NOT BETWEEN 2000 AND 2030 THEN 'date_implausible' END AS r FROM (SELECT doc_id, doc_type, unnest(['date', 'due_date', 'delivery_date']) AS f, unnest([date_text, due_text, delivery_text]) AS date_text FROM dd) WHERE date_text IS NOT NULL) WHERE r IS NOT NULL
+  UNION ALL SELECT doc_id, doc_type, 'numeric_invalid', f, 'warning', NULL, NULL FROM (SELECT doc_id, doc_type, unnest(['tax_amount', 'total_amount', 'change_amount']) AS f, unnest([tax_text, amount_text, change_text]) AS v FROM dd) WHERE v IS NOT NULL
+  UNION ALL SELECT doc_id, doc_type, 'negative_amount', f, 'warning', NULL, v FROM (SELECT doc_id, doc_type, unnest(['subtotal', 'tax_amount', 'total_amount', 'change_amount']) AS f, unnest([sub_k, tax_k, amount_k, change_k]) AS v FROM dd) WHERE v < 0
   UNION ALL SELECT doc_id, doc_type, 'item_total_mismatch', 'items[' || CAST(pos AS VARCHAR) || '].total', 'critical', want, total_k FROM il WHERE abs(want - total_k) > 2
   UNION ALL SELECT doc_id, doc_type, 'negative_discount', 'items[' || CAST(pos AS VARCHAR) || '].discount', 'warning', NULL, disc_k FROM il WHERE doc_type = 'invoice' AND disc_k < 0
   UNION ALL SELECT doc_id, doc_type, 'subtotal_mismatch', 'subtotal', 'critical', lines_k, sub_k FROM dd WHERE doc_type <> 'po' AND n_items > 0 AND abs(lines_k - sub_k) > 2
@@ -117,7 +119,9 @@ issues AS (
   UNION ALL SELECT doc_id, doc_type, 'total_implausible', 'total_amount', 'warning', NULL, amount_k FROM dd WHERE amount_k > 1000000000
   UNION ALL SELECT doc_id, doc_type, 'seller_tax_id_missing', 'vendor_tax_id', 'warning', NULL, NULL FROM dd WHERE doc_type = 'invoice' AND currency = 'TRY' AND coalesce(trim(tax_id), '') = ''
   UNION ALL SELECT doc_id, doc_type, CASE WHEN kind = 'label_captured' THEN 'tax_id_label_captured' WHEN valid IS NULL THEN 'tax_id_unverifiable' ELSE 'tax_id_checksum_invalid' END, {TYPE("vendor_tax_id", "supplier_tax_id", "store_tax_id")},
-    CASE WHEN kind = 'label_captured' THEN 'warning' WHEN valid IS NULL THEN 'info' ELSE 'critical' END, NULL, NULL FROM dd WHERE coalesce(trim(tax_id), '') <> '' AND valid IS DISTINCT FROM TRUE)"""
+    CASE WHEN kind = 'label_captured' THEN 'warning' WHEN valid IS NULL THEN 'info' ELSE 'critical' END, NULL, NULL FROM dd WHERE coalesce(trim(tax_id), '') <> '' AND valid IS DISTINCT FROM TRUE
+  UNION ALL SELECT d.doc_id, d.doc_type, CASE WHEN t.kind = 'label_captured' THEN 'tax_id_label_captured' WHEN t.valid IS NULL THEN 'tax_id_unverifiable' ELSE 'tax_id_checksum_invalid' END, 'buyer_tax_id',
+    CASE WHEN t.kind = 'label_captured' THEN 'warning' WHEN t.valid IS NULL THEN 'info' ELSE 'critical' END, NULL, NULL FROM inv_docs d JOIN (SELECT DISTINCT tax_id, kind, valid FROM tax) t ON t.tax_id = d.buyer_tax_id WHERE trim(d.buyer_tax_id) <> '' AND t.valid IS DISTINCT FROM TRUE)"""
 
 
 def put_issues(name: str, sql: str) -> None:
@@ -128,8 +132,7 @@ for _name, _rules in RULES.items():
     _kinds = [r for r in _rules if r in ("invoice", "po", "receipt")]
     _only = f" AND doc_type IN {listed(_kinds)}" if _kinds else ""
     put_issues(_name, f"SELECT doc_id, rule, field, severity, expected_k, actual_k FROM issues WHERE rule IN {listed(_rules)}{_only}")
-_BAD = "NOT regexp_full_match(regexp_replace(predicted, '[ ,]', '', 'g'), '[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?')"
-put("RL-03_numeric", f"WITH {ISSUES} SELECT doc_id, 'numeric_invalid' AS rule, path AS field FROM fields WHERE path IN ('total_amount', 'tax_rate', 'notes') AND predicted IS NOT NULL AND {_BAD} UNION ALL SELECT doc_id, rule, field FROM issues WHERE rule = 'negative_amount'", "inv_docs", "fields")
+put("RL-03_numeric", f"WITH {ISSUES} SELECT i.doc_id, rule, field, CASE WHEN rule = 'numeric_invalid' THEN CASE field WHEN 'tax_amount' THEN tax_text WHEN 'total_amount' THEN amount_text ELSE change_text END END AS detail, actual_k FROM issues i JOIN inv_docs d ON i.doc_id = d.doc_id WHERE rule IN ('numeric_invalid', 'negative_amount')", "inv_docs")
 SEV = """rep AS (SELECT d.doc_id, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info FROM inv_docs d LEFT JOIN issues i ON d.doc_id = i.doc_id GROUP BY d.doc_id),
 report AS (SELECT *, critical = 0 AS valid, greatest(100 - 20 * critical - 5 * warning - info, 0)::DOUBLE / 100.0::DOUBLE AS score FROM rep)"""
 put("RL-15_report", f"WITH {ISSUES}, {SEV} SELECT doc_id, critical, warning, info, valid, score FROM report", "inv_docs")
@@ -166,12 +169,14 @@ put("RL-25_summary", f"""WITH {ISSUES}, {SEV}, {LLM} SELECT doc_id, concat_ws('
 
 # ---- repair and correction
 
-put("TR-01_repair", """WITH holes AS (SELECT d.doc_id, doc_type, CASE WHEN d.doc_id % 3 <> 0 THEN sub_k END AS sub_k, CASE WHEN d.doc_id % 4 <> 0 THEN tax_k END AS tax_k, amount_k, n_items FROM inv_docs d),
+put("TR-01_repair", """WITH holes AS (SELECT d.doc_id, doc_type, CASE WHEN d.doc_id % 3 <> 0 THEN sub_k END AS sub_k, CASE WHEN d.doc_id % 4 <> 0 THEN tax_k END AS tax_k, amount_k, amount_text, n_items FROM inv_docs d),
   it AS (SELECT doc_id, CAST(sum(CASE WHEN pos % 3 <> 1 THEN total_k ELSE qty * price_k - disc_k END) AS BIGINT) AS items_k FROM inv_items GROUP BY doc_id),
-  a AS (SELECT doc_id, doc_type, tax_k, amount_k, coalesce(items_k, 0) AS items_k, CASE WHEN doc_type <> 'po' AND n_items > 0 THEN coalesce(sub_k, items_k) ELSE sub_k END AS sub_k FROM holes LEFT JOIN it USING (doc_id)),
-  b AS (SELECT *, coalesce(sub_k + tax_k, sub_k, items_k) AS want FROM a) SELECT doc_id, items_k, sub_k, coalesce(amount_k, CASE WHEN want > 0 THEN want END) AS amount_k FROM b""", "inv_docs")
-put("TR-02_apply_corrections", """WITH fixes AS (SELECT doc_id, path, truth AS value FROM fields WHERE path IN ('vendor_name', 'tax_rate') UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'items[99].total' ELSE 'extra' END, '1' FROM orders WHERE o_orderkey % 9 = 0)
-  SELECT coalesce(f.doc_id, x.doc_id) AS doc_id, coalesce(f.path, x.path) AS path, CASE WHEN x.doc_id IS NOT NULL THEN x.value ELSE f.predicted END AS value FROM fields f FULL JOIN fixes x ON f.doc_id = x.doc_id AND f.path = x.path WHERE f.predicted IS NOT NULL OR coalesce(f.path, x.path) NOT LIKE 'items[%'""", "fields")
+  a AS (SELECT doc_id, doc_type, tax_k, amount_k, amount_text, coalesce(items_k, 0) AS items_k, CASE WHEN doc_type <> 'po' AND n_items > 0 THEN coalesce(sub_k, items_k) ELSE sub_k END AS sub_k FROM holes LEFT JOIN it USING (doc_id)),
+  b AS (SELECT *, coalesce(sub_k + tax_k, sub_k, items_k) AS want FROM a) SELECT doc_id, items_k, sub_k, coalesce(amount_k, CASE WHEN want > 0 AND amount_text IS NULL THEN want END) AS amount_k FROM b""", "inv_docs")
+put("TR-02_apply_corrections", """SELECT doc_id, path, CASE WHEN bool_or(fixed) THEN max(value) FILTER (fixed) ELSE max(value) FILTER (NOT fixed) END AS value
+  FROM (SELECT doc_id, path, predicted AS value, false AS fixed FROM fields UNION ALL SELECT doc_id, path, truth, true FROM fields WHERE path IN ('vendor_name', 'tax_rate')
+    UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'items[99].total' ELSE 'extra' END, '1', true FROM orders WHERE o_orderkey % 9 = 0)
+  GROUP BY doc_id, path HAVING bool_or(NOT fixed AND value IS NOT NULL) OR path NOT LIKE 'items[%'""", "fields")
 put("TR-03_changed_fields", "SELECT doc_id, path FROM fields WHERE truth IS DISTINCT FROM predicted", "fields")
 put("TR-04_merge", "SELECT doc_id, path, CASE WHEN (doc_id + length(path)) % 3 = 0 AND predicted IS NOT NULL THEN predicted ELSE truth END AS value FROM fields", "fields")
 put("SE-04_refused", "SELECT doc_id, path FROM fields WHERE (doc_id + length(path)) % 3 <> 0", "fields")
@@ -182,7 +187,7 @@ put("TR-06_verdict", f"WITH {ISSUES} SELECT d.doc_id, CASE WHEN count(i.doc_id)
 put_issues("TR-07_issue_text", "SELECT doc_id, '- [' || upper(severity) || '] Field ''' || field || ''': ' || rule AS text FROM issues WHERE rule LIKE 'tax_id%'")
 _DAY = "CASE WHEN regexp_full_match(date_text, '[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}') THEN CAST(CAST(try_strptime(date_text, '%Y-%m-%d') AS DATE) AS VARCHAR) ELSE CAST(CAST(try_strptime(date_text, '%d.%m.%Y') AS DATE) AS VARCHAR) END"
 CANON = f"""canon AS (SELECT doc_id, nullif(number, '') AS doc_number, nullif(party, '') AS supplier_name, nullif(tax_id, '') AS supplier_tax_id, {_DAY} AS issue_date, coalesce(nullif(currency, ''), 'TRY') AS currency, 'email_pdf' AS channel FROM inv_docs),
-efat AS (SELECT doc_id, coalesce(nullif(number, ''), 'alt') AS doc_number, party AS supplier_name, tax_id AS supplier_tax_id, {_DAY} AS issue_date, coalesce(nullif(currency, ''), 'TRY') AS currency, 'efatura' AS channel, 'ettn-' || doc_id AS source_ref FROM inv_docs WHERE doc_id % 4 = 1)"""
+efat AS (SELECT doc_id, coalesce(nullif(number, ''), 'alt') AS doc_number, party AS supplier_name, tax_id AS supplier_tax_id, {_DAY} AS issue_date, coalesce(nullif(currency, ''), 'TRY') AS currency, 'efatura' AS channel, 'ettn-' || doc_id AS source_ref FROM inv_docs)"""
 put("TR-08_canonical", f"WITH {CANON} SELECT * FROM canon", "inv_docs")
 put("TR-09_efatura", f"WITH {CANON} SELECT * FROM efat", "inv_docs")
 put("SE-05_channels", f"WITH {CANON} SELECT channel, currency, count(*) AS n FROM (SELECT channel, currency FROM canon UNION ALL SELECT channel, currency FROM efat) GROUP BY ALL", "inv_docs")
@@ -227,19 +232,23 @@ put("SNK-01_record", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) + (SELE
 
 # ---- orders against invoices
 
-MATCH = f"""pk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(sku) ORDER BY pos) AS k FROM po_items), ik AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(sku) ORDER BY pos) AS k FROM inv_items),
-pair AS (SELECT p.doc_id, p.pos AS po_pos, i.pos AS inv_pos, p.qty AS pq, p.price_k AS pp, p.total_k AS pt, i.qty AS iq, i.price_k AS ip, i.total_k AS it, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.pos) - 1 AS line
-  FROM pk p JOIN ik i ON p.doc_id = i.doc_id AND lower(p.sku) = lower(i.sku) AND p.k = i.k),
-lone AS (SELECT doc_id, pos, 'po' AS side, sku, NULL::BIGINT AS total_k FROM po_items p WHERE NOT EXISTS (SELECT 1 FROM pair x WHERE x.doc_id = p.doc_id AND x.po_pos = p.pos)
-  UNION ALL SELECT doc_id, pos, 'inv', sku, total_k FROM inv_items i WHERE NOT EXISTS (SELECT 1 FROM pair x WHERE x.doc_id = i.doc_id AND x.inv_pos = i.pos)),
+#: Lines of one key - SKU, or description where there is no SKU - pair in order; other descriptions have nothing in common.
+MATCH = f"""pk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) AS k FROM (SELECT *, coalesce('s ' || lower(sku), 'd ' || description) AS key FROM po_lines)),
+ik AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) AS k FROM (SELECT *, coalesce('s ' || lower(sku), 'd ' || description) AS key FROM inv_lines)),
+pair AS (SELECT p.doc_id, p.pos AS po_pos, i.pos AS inv_pos, p.qty AS pq, p.price_k AS pp, p.total_k AS pt, i.qty AS iq, i.price_k AS ip, i.total_k AS it, CASE WHEN p.description IS NOT DISTINCT FROM i.description THEN 1.0 ELSE 0.0 END::DOUBLE AS sim, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.pos) - 1 AS line
+  FROM pk p JOIN ik i ON p.doc_id = i.doc_id AND p.key = i.key AND p.k = i.k),
+lone AS (SELECT doc_id, pos, 'po' AS side, sku, NULL::BIGINT AS total_k FROM po_lines WHERE doc_id * 100000 + pos NOT IN (SELECT doc_id * 100000 + po_pos FROM pair)
+  UNION ALL SELECT doc_id, pos, 'inv', sku, total_k FROM inv_lines WHERE doc_id * 100000 + pos NOT IN (SELECT doc_id * 100000 + inv_pos FROM pair)),
 three AS (SELECT *, unnest(['quantity', 'unit_price', 'total']) AS field, unnest([pq, pp, pt]) AS a, unnest([iq, ip, it]) AS b, unnest([0.001, 0.02, 0.02]) AS tol FROM pair),
 disc AS (SELECT doc_id, line, field, a AS po_value, b AS inv_value, CASE WHEN a IS NULL OR b IS NULL OR field = 'total' THEN 'warning' ELSE 'critical' END AS severity,
   CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN (abs(a - b) * 20000 + greatest(abs(a), 1)) // (2 * greatest(abs(a), 1)) END AS diff_bp, pq, pp, iq, ip
-  FROM three WHERE (a IS NULL) <> (b IS NULL) OR NOT ((a = 0 AND b = 0) OR abs(a - b)::DOUBLE / greatest(abs(a), abs(b), 1e-9)::DOUBLE <= tol::DOUBLE)),
-hd AS (SELECT doc_id, sub_k + CASE WHEN doc_id % 23 = 0 THEN CAST(floor(sub_k / 10) AS BIGINT) ELSE 0 END AS a_t, amount_k AS bt, sub_k AS bs, CASE WHEN doc_id % 8 = 1 THEN 'TRY' ELSE currency END AS ac, currency AS bc FROM inv_docs),
+  FROM three WHERE (a IS NULL) <> (b IS NULL) OR NOT ((a = 0 AND b = 0) OR abs(a - b)::DOUBLE / greatest(abs(a), abs(b), 1e-9)::DOUBLE <= tol::DOUBLE)
+  UNION ALL SELECT doc_id, line, 'description', NULL, NULL, 'warning', NULL, pq, pp, iq, ip FROM pair WHERE sim < 0.8),
+hd AS (SELECT doc_id, sub_k + CASE WHEN doc_id % 23 = 0 THEN CAST(floor(sub_k / 10) AS BIGINT) ELSE 0 END AS a_t, amount_k AS bt, sub_k AS bs, CASE WHEN doc_id % 8 = 1 THEN 'TRY' ELSE currency END AS ac, currency AS bc, party FROM inv_docs),
 near AS (SELECT *, (a_t = 0 AND bt = 0) OR abs(a_t - bt)::DOUBLE / greatest(abs(a_t), abs(bt), 1e-9)::DOUBLE <= 0.02 AS n1, (a_t = 0 AND bs = 0) OR abs(a_t - bs)::DOUBLE / greatest(abs(a_t), abs(bs), 1e-9)::DOUBLE <= 0.02 AS n2, {case("ac", CURRENCIES, "ac")} = {case("bc", CURRENCIES, "bc")} AS cc FROM hd),
 scal AS (SELECT doc_id, 'total_amount' AS field, n1 OR n2 AS matched, CASE WHEN n1 OR n2 THEN 'ok' ELSE 'warning' END AS severity, bt - a_t AS gap FROM near WHERE a_t IS NOT NULL AND bt IS NOT NULL
-  UNION ALL SELECT doc_id, 'currency', cc, CASE WHEN cc THEN 'ok' ELSE 'critical' END, NULL FROM near WHERE ac <> '' AND bc <> ''),
+  UNION ALL SELECT doc_id, 'currency', cc, CASE WHEN cc THEN 'ok' ELSE 'critical' END, NULL FROM near WHERE ac <> '' AND bc <> ''
+  UNION ALL SELECT doc_id, 'supplier_vendor', doc_id % 29 <> 0, CASE WHEN doc_id % 29 <> 0 THEN 'ok' ELSE 'warning' END, NULL FROM hd WHERE party <> ''),
 pf AS (SELECT doc_id, {case("field", FIELD_KINDS, "'OTHER'")} AS kind, severity, field, 'po_match' AS source, 'cross_source' AS basis, CAST(po_value AS VARCHAR) AS expected, CAST(inv_value AS VARCHAR) AS actual,
     CASE field WHEN 'unit_price' THEN (inv_value - po_value) * coalesce(nullif(iq, 0), pq) WHEN 'quantity' THEN (inv_value - po_value) * coalesce(nullif(pp, 0), ip) ELSE inv_value - po_value END AS amount_k, line FROM disc
   UNION ALL SELECT doc_id, {case("field", FIELD_KINDS, "'OTHER'")}, severity, field, 'po_match', 'cross_source', NULL, NULL, gap, NULL FROM scal WHERE severity <> 'ok'
@@ -247,14 +256,17 @@ pf AS (SELECT doc_id, {case("field", FIELD_KINDS, "'OTHER'")} AS kind, severity,
 
 
 def put_match(name: str, sql: str) -> None:
-    put(name, f"WITH {MATCH} " + sql, "inv_docs", "po_items")
+    put(name, f"WITH {MATCH} " + sql, "inv_docs", "po_lines", "inv_lines")
 
 
-put_match("JN-06_sku_pairs", "SELECT doc_id, po_pos, inv_pos FROM pair")
-put_match("WN-03_occurrence", "SELECT doc_id, count(*) AS n, max(inv_pos) AS last FROM pair GROUP BY doc_id")
+SKU = """pk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(sku) ORDER BY pos) AS k FROM po_items), ik AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(sku) ORDER BY pos) AS k FROM inv_items),
+pair AS (SELECT p.doc_id, p.pos AS po_pos, i.pos AS inv_pos, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.pos) - 1 AS line FROM pk p JOIN ik i ON p.doc_id = i.doc_id AND lower(p.sku) = lower(i.sku) AND p.k = i.k)"""
+put("JN-06_sku_pairs", f"WITH {SKU} SELECT doc_id, po_pos, inv_pos FROM pair", "po_items")
+put("WN-03_occurrence", f"WITH {SKU} SELECT doc_id, count(*) AS n, max(inv_pos) AS last FROM pair GROUP BY doc_id", "po_items")
+put_match("JN-08_match_lines", "SELECT doc_id, line, po_pos, inv_pos, sim FROM pair")
 put_match("JN-09_unmatched", "SELECT doc_id, pos, side FROM lone")
 put_match("FD-01_discrepancies", "SELECT doc_id, line, field, po_value, inv_value, severity, diff_bp FROM disc")
-put_match("FD-03_match_score", "SELECT doc_id, line, round((1.0::DOUBLE + CASE WHEN abs(pq - iq)::DOUBLE / greatest(pq, iq, 1e-9)::DOUBLE <= 0.001 THEN 1.0 ELSE 0.5 END::DOUBLE) / 2, 4) AS match_score FROM pair")
+put_match("FD-03_match_score", "SELECT doc_id, line, round((sim + CASE WHEN abs(pq - iq)::DOUBLE / greatest(pq, iq, 1e-9)::DOUBLE <= 0.001 THEN 1.0 ELSE 0.5 END::DOUBLE) / 2, 4) AS match_score FROM pair")
 put_match("JN-10_scalars", "SELECT doc_id, field, matched, severity FROM scal")
 put_match("FD-04_total_check", "SELECT doc_id, matched, severity FROM scal WHERE field = 'total_amount'")
 put_match("FD-05_currency_check", "SELECT doc_id, matched, severity FROM scal WHERE field = 'currency'")
@@ -281,7 +293,7 @@ def impact(source: str, basis: str) -> str:
 
 
 def put_all(name: str, sql: str) -> None:
-    put(name, f"WITH {ALL} " + sql, "inv_docs", "po_items", "incoming")
+    put(name, f"WITH {ALL} " + sql, "inv_docs", "po_lines", "inv_lines", "incoming")
 
 
 put("FD-07_rule_findings", f"WITH {ISSUES}, {RF} SELECT doc_id, kind, severity, field, amount_k FROM rf", "inv_docs")
@@ -308,7 +320,7 @@ put_match("RP-04_json", f""", ag AS (SELECT doc_id, bool_or(severity = 'critical
 put_match("RP-02_decision_text", f""", ag AS (SELECT doc_id, bool_or(severity = 'critical' AND abs(amount_k) >= 1) AS hold, bool_or(severity = 'critical') AS crit FROM pf GROUP BY doc_id)
   SELECT d.doc_id, CASE WHEN hold THEN '{TITLES["HOLD"]}' WHEN crit THEN '{TITLES["REVIEW"]}' ELSE '{TITLES["PAY"]}' END AS title, CASE WHEN impact_k <> 0 THEN CASE WHEN impact_k < 0 THEN '-' ELSE '' END || translate(format('{{:,}}', abs(impact_k) // 100), ',', '.') || ',' || lpad(CAST(abs(impact_k) % 100 AS VARCHAR), 2, '0') || ' TL' END AS impact
   FROM inv_docs d LEFT JOIN ag ON ag.doc_id = d.doc_id LEFT JOIN {impact("pf", "cross_source")} x ON x.doc_id = d.doc_id""")
-PROB = f""", pr AS (SELECT doc_id, line * 10 + CASE field WHEN 'quantity' THEN 0 WHEN 'unit_price' THEN 1 ELSE 2 END AS ord, {case("field", FIELD_ANOMALY, "'OTHER'")} AS code, CASE severity WHEN 'critical' THEN 'HIGH' ELSE 'MEDIUM' END AS level FROM disc),
+PROB = f""", pr AS (SELECT doc_id, line * 10 + CASE field WHEN 'quantity' THEN 0 WHEN 'unit_price' THEN 1 WHEN 'total' THEN 2 ELSE 3 END AS ord, {case("field", FIELD_ANOMALY, "'OTHER'")} AS code, CASE severity WHEN 'critical' THEN 'HIGH' ELSE 'MEDIUM' END AS level FROM disc),
   lb AS (SELECT *, {case("code", {k: v[0] for k, v in ANOMALIES.items()}, "''")} AS label, {case("code", {k: v[1] for k, v in ANOMALIES.items()}, "''")} AS action FROM pr),
   tp AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE level WHEN 'HIGH' THEN 0 ELSE 1 END, ord) AS n FROM lb)"""
 put_match("RP-01_match_problems", PROB + " SELECT doc_id, ord, code, level, label FROM lb")
@@ -348,11 +360,11 @@ put("SC-03_absolute", f"SELECT doc_id, path, {accuracy(chr(39) + 'tax_rate' + ch
 put("SC-04_dispatch", f"SELECT doc_id, path, {accuracy('path')} AS score FROM fields", "fields")
 put_scored("SC-05_override", "SELECT doc_id, path, em FROM sc")
 put("SC-06_available", "SELECT doc_id, path FROM fields WHERE path <> 'receipt_number' AND (doc_id + length(path)) % 2 = 0", "fields")
-put_match("SC-08_reindex", """, o AS (SELECT doc_id, inv_pos AS j, line AS ord FROM pair) SELECT i.doc_id, i.pos AS j, row_number() OVER (PARTITION BY i.doc_id ORDER BY o.ord ASC NULLS LAST, i.pos) - 1 AS new_pos FROM inv_items i LEFT JOIN o ON o.doc_id = i.doc_id AND o.j = i.pos""")
+put("SC-08_reindex", f"""WITH {SKU}, o AS (SELECT doc_id, inv_pos AS j, line AS ord FROM pair) SELECT i.doc_id, i.pos AS j, row_number() OVER (PARTITION BY i.doc_id ORDER BY o.ord ASC NULLS LAST, i.pos) - 1 AS new_pos FROM inv_items i LEFT JOIN o ON o.doc_id = i.doc_id AND o.j = i.pos""", "po_items")
 put("WN-06_alignment_rank", "SELECT pos AS new_pos, count(*) AS n FROM inv_items GROUP BY pos", "inv_items")
 put("SE-02_key_union", """SELECT path, count(*) AS n FROM (SELECT coalesce(a.path, b.path) AS path, truth, predicted FROM (SELECT doc_id, path, truth FROM fields WHERE doc_id % 2 = 0) a FULL JOIN (SELECT doc_id, path, predicted FROM fields WHERE doc_id % 3 = 0) b
   ON a.doc_id = b.doc_id AND a.path = b.path) WHERE truth IS DISTINCT FROM predicted GROUP BY path""", "fields")
-DOCTOK = "src AS (SELECT doc_id, t AS truth, CASE WHEN doc_id % 4 = 0 THEN '' ELSE substr(t, 1, CAST(floor(length(t) * 3 / 4) AS INT)) END AS predicted FROM (SELECT doc_id, regexp_replace(text, '[^\\x20-\\x7e\\n]', '', 'g') AS t FROM documents))"
+DOCTOK = "src AS (SELECT doc_id, t AS truth, CASE WHEN doc_id % 4 = 0 THEN '' ELSE substr(t, 1, CAST(floor(length(t) * 3 / 4) AS INT)) END AS predicted FROM (SELECT doc_id, text AS t FROM documents))"
 put("AG-07_token_f1", f"WITH {DOCTOK}, {TOKENS} SELECT doc_id, p AS precision, r AS recall, f1 FROM prf")
 put("SE-03_common_words", f"WITH {DOCTOK}, {TOKENS} SELECT doc_id, b AS common FROM tok")
 put_scored("AG-08_document_scores", "SELECT * FROM ds")
