@@ -260,10 +260,8 @@ def test_contamination_against_brute_force(spark):
 
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x beta y y gamma"), (2, "gamma " + "z " * 50 + "alpha")], "doc_id long, text string")
-    classes = decontam.item_classes(spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string"))
-    anchor = classes.selectExpr("cls", "n", "posexplode(words) as (q, term)").selectExpr("cls", "n", "q", "term", "array() as left", "array() as right")
-    found = decontam.proximity_matches(decontam.positional_index(docs, anchor), anchor, slop=4, least=3).collect()
-    assert [(r["doc_id"], r["n_terms"]) for r in found] == [(1, 3)]
+    found = decontam.proximity(docs, spark.createDataFrame([("i", "alpha beta gamma")], "item_id string, text string"), slop=4, share=1.0).collect()
+    assert [(r["doc_id"], r["item_id"], r["n_terms"]) for r in found] == [(1, "i", 3)]
 
 
 # ---- 9 language model

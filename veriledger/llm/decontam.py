@@ -5,7 +5,8 @@ is looked up by its rarest term: postings (term, document, position, words on ei
 stored for just those terms, a posting list is shifted by the term's place in the item, and the
 lists meet word for word on both sides of the anchor, which gives the whole run of words that
 document and item share there. A run as long as a window is an exact phrase match; a window whose
-rarest term has no posting can't occur. Test terms are looked up in the corpus scan itself, so the
+rarest term has no posting can't occur. For near matches the posting lists of each item's rarest
+terms are shifted and intersected by position (proximity). Test terms are looked up in the corpus scan itself, so the
 corpus is never shuffled. All of it is DataFrame functions.
 """
 
@@ -21,6 +22,9 @@ GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
 #: A document is contaminated if its hit words are 1 in this many or more.
 SHARE = 20
+#: Near matches: rare terms of an item that are looked up, the share of them that must stand near
+#: each other, and by how many words their distances may differ from the item's.
+NEAR_TERMS, NEAR_SHARE, SLOP = 8, 0.75, 6
 
 
 def tokens(text: Column) -> Column:
@@ -89,13 +93,49 @@ def phrase_matches(index: DataFrame, anchor: DataFrame) -> DataFrame:
     return met.select("doc_id", "text_hash", "cls", (F.col("pos") - F.col("before")).alias("first"), (F.col("pos") + F.col("after")).alias("last"))
 
 
-def proximity_matches(index: DataFrame, anchor: DataFrame, slop: int = 8, least: int = 2) -> DataFrame:
-    """doc_id, text_hash, cls, n_terms: items of which `least` or more indexed terms stand in a
-    document at the item's own distances, give or take `slop` words."""
-    a = bounded_broadcast(anchor.select("cls", "q", "term"), 200_000)
+def rare_terms(classes: DataFrame, counts: DataFrame, most: int = NEAR_TERMS) -> DataFrame:
+    """cls, n_rare, q, term: the `most` rarest distinct terms of each item (then by name) that the
+    corpus has, at every place where they stand in it. n_rare is how many terms they are."""
+    spread = classes.select("cls", F.posexplode("words").alias("q", "term")).withColumn("folded", F.lower("term"))
+    rated = spread.join(bounded_broadcast(counts, 1_000_000), "folded")
+    order = Window.partitionBy("cls").orderBy("count", "term")
+    kept = rated.withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= most)
+    return kept.select("cls", F.max("r").over(Window.partitionBy("cls")).alias("n_rare"), "q", "term")
+
+
+def term_postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The stored posting lists of the terms (column term) by themselves: term, doc_id, text_hash,
+    pos. Repeated rows share theirs."""
+    wanted = bounded_broadcast(terms.select(F.lower("term").alias("folded")).distinct(), 1_000_000)
+    each = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode_outer(tokens(F.col("text"))).alias("pos", "w")).withColumn("folded", F.lower("w"))
+    return store(each.join(wanted, "folded").select(lower_ascii(F.col("w")).alias("term"), "doc_id", "text_hash", "pos").distinct(), "term-postings")
+
+
+def proximity_matches(postings: DataFrame, rare: DataFrame, slop: int = SLOP, share: float = NEAR_SHARE) -> DataFrame:
+    """doc_id, text_hash, cls, n_terms: items of whose rare terms (rare_terms) at least `share`, and
+    two, stand in a document at the item's own distances, give or take `slop` words. Each list is
+    shifted by its term's place in the item; shifted lists meet where the terms stand as in the item,
+    and within a window of slop + 1 shifts where words were put in or left out."""
+    a = bounded_broadcast(rare, 200_000)
     near = Window.partitionBy("doc_id", "text_hash", "cls").orderBy("shift").rangeBetween(0, slop)
-    met = index.join(a, "term").select("doc_id", "text_hash", "cls", "q", (F.col("pos") - F.col("q")).cast("long").alias("shift"))
-    return met.withColumn("k", F.size(F.collect_set("q").over(near))).groupBy("doc_id", "text_hash", "cls").agg(F.max("k").alias("n_terms")).where(F.col("n_terms") >= least)
+    met = postings.join(a, "term").select("doc_id", "text_hash", "cls", "n_rare", "term", (F.col("pos") - F.col("q")).cast("long").alias("shift"))
+    out = met.withColumn("k", F.size(F.collect_set("term").over(near))).groupBy("doc_id", "text_hash", "cls", "n_rare").agg(F.max("k").alias("n_terms"))
+    return out.where((F.col("n_terms") >= 2) & (F.col("n_terms") >= F.ceil(share * F.col("n_rare")))).drop("n_rare")
+
+
+def proximity(docs: DataFrame, benchmark: DataFrame, slop: int = SLOP, share: float = NEAR_SHARE) -> DataFrame:
+    """doc_id, item_id, n_terms: the items that documents quote nearly, with words changed, put in or
+    left out, one row for each document (rows of one id and text are one) and item.
+
+    Items of one distinct term have no neighbours and no match. Null and empty texts match nothing;
+    an empty benchmark or corpus gives no rows; a null item_id counts as an empty one.
+    """
+    classes = store(item_classes(benchmark), "bench-items")
+    counts = store(term_counts(docs, store(classes.select(F.explode("words").alias("term")).select(F.lower("term").alias("folded")).distinct(), "bench-terms")), "bench-counts")
+    rare = store(rare_terms(classes, counts), "bench-rare")
+    found = proximity_matches(term_postings(docs, rare), rare, slop, share)
+    named = found.join(bounded_broadcast(classes.select("cls", F.explode("ids").alias("item_id"))), "cls")
+    return named.groupBy("doc_id", "text_hash", "item_id").agg(F.max("n_terms").cast("long").alias("n_terms")).drop("text_hash")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -133,7 +173,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated; columns stay. Only the documents with a match,
+    """The rows of docs that are not contaminated; columns stay. Null and empty texts are clean,
+    repeated rows go or stay alike, an empty benchmark keeps all rows. Only the documents with a match,
     few beside the corpus, are told apart by a join."""
     found = hits(docs, benchmark)
     words = F.size(tokens(F.col("text")))
@@ -142,4 +183,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.join(bounded_broadcast(other, 1_000_000), same, "left_anti")
 
 
-__all__ = ["anchors", "contamination", "hits", "item_classes", "keep_clean", "phrase_matches", "positional_index", "proximity_matches", "term_counts", "tokens"]
+__all__ = ["anchors", "contamination", "hits", "item_classes", "keep_clean", "phrase_matches", "positional_index", "proximity", "proximity_matches", "rare_terms", "term_counts", "term_postings", "tokens"]

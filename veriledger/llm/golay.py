@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriledger.llm.common import store
+from veriledger.llm.common import bounded_broadcast, store
 from veriledger.llm.components import connected_components
 
 SHINGLE, SEED, BITS = 4, 42, 4
@@ -154,7 +154,7 @@ def links(distinct: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFram
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key. Yields links (key null), or the key of a group over `block`."""
-        held_key, held_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held_key, held_fp, large, passed = np.zeros(0, np.int64), np.zeros(0, np.uint64), None, 0
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             k, a, b = zip(*rows) if rows else ((), (), ())
@@ -179,14 +179,26 @@ def links(distinct: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFram
             return rows
 
         for batch in batches:
-            key = np.concatenate([held_key, batch.column("key").to_numpy()])
-            fp = np.concatenate([held_fp, batch.column("fp").to_numpy().view(np.uint64)])
+            key, fp = batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+            if large is not None:  # the rest of a large group is only counted
+                past = int(np.searchsorted(key, large, "right"))
+                passed, key, fp = passed + past, key[past:], fp[past:]
+                if not len(key):
+                    continue
+                yield out([(large, 0, passed)])
+                large = None
+            key, fp = np.concatenate([held_key, key]), np.concatenate([held_fp, fp])
             if not len(key):
                 continue
             cut = int(np.searchsorted(key, key[-1], "left"))
             if cut:
                 yield out(work(key[:cut], fp[:cut]))
             held_key, held_fp = key[cut:], fp[cut:]
+            if len(held_key) > block:
+                large, passed = int(held_key[0]), len(held_key)
+                held_key, held_fp = held_key[:0], held_fp[:0]
+        if large is not None:
+            yield out([(large, 0, passed)])
         if len(held_key):
             yield out(work(held_key, held_fp))
 
@@ -205,7 +217,7 @@ def links(distinct: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFram
         rows = forest_links(half[0], None, bits) if pdf["a"].iloc[0] == pdf["b"].iloc[0] else forest_links(half[0], half[1], bits)
         return pd.DataFrame(np.array(rows, np.uint64).reshape(-1, 2).view(np.int64), columns=["src", "dst"])
 
-    dealt = keyed.join(F.broadcast(heavy), "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    dealt = keyed.join(bounded_broadcast(heavy), "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", "fp", F.least("own", "peer").alias("a"), F.greatest("own", "peer").alias("b"), (F.col("own") > F.col("peer")).cast("int").alias("half"))
     return within.union(dealt.groupBy("key", "a", "b").applyInPandas(across, "src long, dst long")).distinct()
@@ -233,11 +245,15 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
 def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """docs with one row of each near-duplicate group, that of the smallest doc_id; columns stay.
 
-    Rows that share a doc_id count as one document, of which one row stays. Rows without an id
-    can't be told apart from each other by it: only their exact repeats go.
+    Rows are told apart by doc_id and text: rows without an id come after all others and are compared
+    like any other, rows that share an id are rows of their own, repeated rows are one. Null and
+    empty texts have fingerprint 0 and are one group.
     """
-    pairs = near_duplicates(docs.where("doc_id is not null"), bits)
-    kept = pairs.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
-    unnamed = docs.where("doc_id is null").withColumn("__text", F.xxhash64("text")).dropDuplicates(["__text"]).drop("__text")
-    return named.unionByName(unnamed)
+    kind = docs.schema["doc_id"].dataType
+    blank = F.lit("" if kind.simpleString() == "string" else 0).cast(kind)
+    text = F.coalesce("text", F.lit(""))
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", blank).alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    pairs = near_duplicates(docs.select(key.alias("doc_id"), "text"), bits)
+    kept = pairs.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
+    named = docs.withColumn("__key", key)
+    return named.join(kept, named["__key"] == kept["__kept"], "left_semi").dropDuplicates(["__key"]).drop("__key")

@@ -18,10 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veriledger.llm.common import bounded_broadcast, store
+
 ORDER = 4
 FOLDS = 5
 #: Bounds of the fitting sample: rows of a language, bytes of a row, bytes of all languages.
 SAMPLE_ROWS, ROW_BYTES, SAMPLE_BYTES = 400, 65_536, 16_000_000
+#: Bytes of text from which one language is learned.
+LANGUAGE_BYTES = 1_500_000
 UNDETERMINED = "und"
 START = 10  # the byte that stands before a text
 WINDOW = 1 << 21  # positions worked on at once
@@ -70,13 +74,14 @@ class ContextTree:
 
 
 def fit(rows: list[tuple[str, str]], order_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[ContextTree]]:
-    """Trees from (lang, text) rows; each language gets an equal part of order_bytes."""
+    """Trees from (lang, text) rows; each language gets an equal part of order_bytes, LANGUAGE_BYTES
+    at most."""
     by: dict[str, list[bytes]] = {}
     for lang, text in rows:
         by.setdefault(lang, []).append(text.encode("utf-8", "replace"))
     langs, trees = sorted(by), []
     for lang in langs:
-        kept, room = [], min(1_500_000, order_bytes // max(1, len(langs)))
+        kept, room = [], min(LANGUAGE_BYTES, order_bytes // max(1, len(langs)))
         for t in by[lang]:
             kept.append(t[:room])
             room -= len(t)
@@ -93,15 +98,19 @@ def held_out(doc_id, folds: int = FOLDS):
 
 def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
     """At most `rows` labelled training rows of each language, those of least hash, each cut to
-    ROW_BYTES characters. The rank limit is applied in every task before rows move."""
+    ROW_BYTES characters, and of these only as many as give LANGUAGE_BYTES. The limits are applied
+    before texts move, so no more than that reaches the driver."""
     train = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.octet_length("text"))
-    train = train.select("lang", F.md5(name.cast("binary")).alias("h"), F.substring("text", 1, ROW_BYTES).alias("head"))
+    train = train.select("lang", F.md5(name.cast("binary")).alias("h"), F.substring("text", 1, ROW_BYTES).alias("head")).withColumn("size", F.octet_length("head"))
     # ranked in 256 parts of a language first, so that one with most rows doesn't meet in one task
     part = Window.partitionBy("lang", F.substring("h", 1, 2)).orderBy("h")
-    some = train.select("lang", "h").withColumn("r", F.row_number().over(part)).where(F.col("r") <= max(2, rows // 32))
-    best = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= rows).select("lang", "h").distinct()
-    taken = train.join(F.broadcast(best), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("head").alias("head"))
+    some = train.select("lang", "h", "size").withColumn("r", F.row_number().over(part)).where(F.col("r") <= max(2, rows // 32))
+    whole = Window.partitionBy("lang").orderBy("h")
+    first = some.groupBy("lang", "h").agg(F.max("size").alias("size"))
+    before = F.coalesce(F.sum("size").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    best = first.withColumn("before", before).withColumn("r", F.row_number().over(whole)).where((F.col("r") <= rows) & (F.col("before") < LANGUAGE_BYTES)).select("lang", "h")
+    taken = train.join(bounded_broadcast(store(best, "language-sample")), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("head").alias("head"))
     return [(x["lang"], x["head"]) for x in sorted(taken.collect(), key=lambda x: (x["lang"], x["h"]))]
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriledger.llm.common import WORD, bounded_broadcast, quoted, store, unit_hash
+from veriledger.llm.common import WORD, as_text, bounded_broadcast, quoted, store, unit_hash
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -45,29 +45,36 @@ def source_plan(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     return level.withColumn("target", target).select("source", "source_size", "weight", "target", rate.alias("rate"))
 
 
-def copies(rate, doc_id, seed: str = SEED) -> F.Column:
+def draw_key(doc_id, text) -> F.Column:
+    """What a row draws by: its id and its text, so that rows without an id, or of one id, don't all
+    draw alike; only repeated rows do."""
+    return F.concat(as_text(doc_id), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+
+
+def copies(rate, key, seed: str = SEED) -> F.Column:
     """floor(rate), and one more if the hashed draw is under the fraction."""
     whole = F.floor(rate)
-    return (whole + (unit_hash(doc_id, seed) < rate - whole).cast("long")).cast("long")
+    return (whole + (unit_hash(key, seed) < rate - whole).cast("long")).cast("long")
 
 
 def mix_counts(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken for every row of docs.
 
-    Null text counts no words, null source is a source of its own, null doc_id draws as one key;
+    Null text counts no words, null source is a source of its own; rows draw by doc_id and text, so
     repeated rows draw alike and are all counted. Extra columns are ignored. Empty in, empty out.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    plan = bounded_broadcast(store(source_plan(sized, weights, cap), "mix-plan")).withColumnRenamed("source", "__source")
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw_key(F.col("doc_id"), F.col("text")).alias("__draw"))
+    plan = bounded_broadcast(store(source_plan(docs.select("source", word_count(F.col("text")).alias("size")), weights, cap), "mix-plan")).withColumnRenamed("source", "__source")
     out = sized.join(plan, sized["source"].eqNullSafe(plan["__source"])).drop("__source")
-    return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id"), seed)).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.withColumn("copies", copies(F.col("rate"), F.col("__draw"), seed)).withColumn("taken", F.col("copies") * F.col("size")).drop("__draw")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """docs with each row repeated as the mix takes it; columns, extra ones included, stay."""
+    """docs with each row repeated as the mix takes it; columns, extra ones included, stay. Nulls,
+    empty texts and repeated rows count as in mix_counts; an empty table stays empty."""
     sized = docs.select("source", word_count(F.col("text")).alias("size"))
     plan = bounded_broadcast(store(source_plan(sized, weights, cap), "mix-plan"))
     plan = plan.select(F.col("source").alias("__mix_source"), F.col("rate").alias("__mix_rate"))
     out = docs.join(plan, docs["source"].eqNullSafe(plan["__mix_source"]))
-    out = out.withColumn("__mix_copies", copies(F.col("__mix_rate"), F.col("doc_id"), seed)).where("__mix_copies > 0")
+    out = out.withColumn("__mix_copies", copies(F.col("__mix_rate"), draw_key(F.col("doc_id"), F.col("text")), seed)).where("__mix_copies > 0")
     return out.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))).select(*quoted(docs.columns))

@@ -45,6 +45,11 @@ def op8_positional_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other result of operator 8: documents that quote an item nearly."""
+    return decontam.proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixlm.score(table(spark, sf_dir, "documents"))
 
@@ -55,7 +60,7 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents),
 agg AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS place FROM agg),
 weighed AS (
@@ -74,7 +79,7 @@ plan AS (
   FROM capped),
 drawn AS (
   SELECT doc_id, size, source_size, target, rate,
-    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, chr(0) || 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, chr(0) || 'null') || ':' || digest), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
   FROM sized JOIN plan ON sized.source IS NOT DISTINCT FROM plan.source)
 SELECT doc_id, size, source_size, target, ((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM drawn
 """
@@ -133,5 +138,5 @@ SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
   CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r
 """
 
-QUERIES = {"op1_minhash_lines": op1_minhash_lines, "op2_mixing": op2_mixing, "op3_page_differencing": op3_page_differencing, "op4_warc_normaliser": op4_warc_normaliser, "op5_golay_simhash": op5_golay_simhash, "op6_closed_syncmers": op6_closed_syncmers, "op7_size_tiered_shards": op7_size_tiered_shards, "op8_positional_decontam": op8_positional_decontam, "op9_context_mixing": op9_context_mixing, "op10_ppm_language": op10_ppm_language}
+QUERIES = {"op1_minhash_lines": op1_minhash_lines, "op2_mixing": op2_mixing, "op3_page_differencing": op3_page_differencing, "op4_warc_normaliser": op4_warc_normaliser, "op5_golay_simhash": op5_golay_simhash, "op6_closed_syncmers": op6_closed_syncmers, "op7_size_tiered_shards": op7_size_tiered_shards, "op8_positional_decontam": op8_positional_decontam, "op9_context_mixing": op9_context_mixing, "op10_ppm_language": op10_ppm_language, "near_positional_decontam": proximity_matches}
 ORACLES = {"op2_mixing": OP2_SQL, "op4_warc_normaliser": OP4_SQL, "op7_size_tiered_shards": OP7_SQL, "op8_positional_decontam": OP8_SQL}

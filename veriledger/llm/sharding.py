@@ -10,6 +10,7 @@ one call to the file system, and needs a store on which renaming a folder is ato
 
 from __future__ import annotations
 
+import time
 import uuid
 from functools import reduce
 
@@ -21,6 +22,8 @@ from veriledger.llm.common import bounded_broadcast, hadoop, new_path, quoted, s
 
 #: Bytes of text: of an arrival, of a finished shard, of the lowest tier, and the tiers' factor.
 ARRIVAL, TARGET, LOWEST, FACTOR, TIERS = 4 << 20, 64 << 20, 64 << 10, 4, 8
+#: Age from which a file that no manifest names can't be one of a running writer: a day.
+SPARE_MS = 24 * 3600 * 1000
 #: Runs that one job rewrites.
 RUNS_A_JOB = 128
 UNION = "spark.sql.unionOutputPartitioning"
@@ -116,14 +119,19 @@ class ShardTable:
         names = live.select(F.element_at(F.split("file", "/"), -1).alias("__name"), F.col("shard").alias("__shard"), F.col("tier").alias("__tier"), F.col("rows").alias("__rows"), F.col("bytes").alias("__bytes"))
         return rows.join(bounded_broadcast(names), "__name").drop("__name")
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Delete manifests before the last `keep` versions and the files that only they name."""
+    def vacuum(self, keep: int = 1, spare_ms: int = SPARE_MS) -> None:
+        """Delete manifests before the last `keep` versions and the files that only they name. Files
+        that no manifest names may be another writer's that has not committed yet: they go only when
+        they are older than spare_ms."""
         last = self.version()
         fs, data = hadoop(self.spark, f"{self.path}/data")
-        live = {r["file"] for v in range(max(1, last - keep + 1), last + 1) for r in self.manifest(v).select("file").toLocalIterator()}
+        named = lambda vs: {r["file"] for v in vs if fs.exists(hadoop(self.spark, f"{self.path}/manifest/v{v}")[1]) for r in self.manifest(v).select("file").toLocalIterator()}
+        live, replaced = named(range(max(1, last - keep + 1), last + 1)), named(range(1, max(1, last - keep + 1)))
+        now = time.time() * 1000
         for folder in fs.listStatus(data):
             for f in fs.listStatus(folder.getPath()):
-                if f"data/{folder.getPath().getName()}/{f.getPath().getName()}" not in live:
+                name = f"data/{folder.getPath().getName()}/{f.getPath().getName()}"
+                if name not in live and (name in replaced or now - f.getModificationTime() > spare_ms):
                     fs.delete(f.getPath(), True)
         for v in range(1, last - keep + 1):
             fs.delete(hadoop(self.spark, f"{self.path}/manifest/v{v}")[1], True)

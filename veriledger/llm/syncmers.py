@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veriledger.llm.common import store
+
 
 K, S = 4, 2
 #: Texts of fewer words, or of longer ones on average, have anchors of characters.
@@ -84,39 +86,42 @@ def positional_matches(a: Column, b: Column) -> Column:
     return _let(places, lambda m: F.filter(F.transform(a, lambda x: F.struct(x["hash"].alias("hash"), x["pos"].alias("pos"), F.element_at(m, x["hash"]).alias("other"))), lambda x: x["other"].isNotNull()))
 
 
-def _bucket(key: Column, bounds: list[int]) -> Column:
+def _bucket(key: Column, bounds: list[Column]) -> Column:
     """How many bounds are at most key, looked up in two steps of about a root of their number."""
     if not bounds:
         return F.lit(0)
     step = max(1, int(len(bounds) ** 0.5))
     chunks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
     upto = lambda xs: F.size(F.filter(xs, lambda b: b <= key))
-    coarse = upto(longs([c[0] for c in chunks]))
-    fine = F.get(F.array(*map(longs, chunks)), coarse - 1)
+    coarse = upto(F.array(*[c[0] for c in chunks]))
+    fine = F.get(F.array(*[F.array(*c) for c in chunks]), coarse - 1)
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + upto(fine)).cast("int")
 
 
 def with_next(docs: DataFrame, value: dict[str, Column]) -> DataFrame:
     """docs' doc_id and text (null: empty) with `value`s, and next_text and next_ of each value:
-    those of the row after it in ascending doc_id (null first, ties by text), after the last the
-    first. Rows are dealt into buckets of neighbouring ids that hold about BUCKET bytes, and each
-    bucket also gets the first row of the next: the text moves once, and no task sees all ids."""
+    those of the row after it in ascending doc_id (null first; rows of one id in the order of a hash
+    of their text), after the last the first. Rows are dealt into buckets of neighbours in that order
+    that hold about BUCKET bytes, rows of one id too, and each bucket also gets the first row of the
+    next: the text moves once, and no task sees all ids. Past MOST_BUCKETS buckets they grow; they
+    are sorted outside memory, so only their time does."""
+    kind = docs.schema["doc_id"].dataType
     size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     buckets = max(1, min(MOST_BUCKETS, -(-(size["bytes"] or 0) // BUCKET)))
-    ids = sorted(r[0] for r in docs.where("doc_id is not null").select("doc_id").sample(min(1.0, SAMPLE / max(size["n"], 1)), 7).collect())
-    bounds = sorted({ids[i * len(ids) // buckets] for i in range(1, buckets)} - {ids[0]}) if ids else []
-    low = F.lit(-(2**63)).cast("long")
-    key = F.coalesce(F.col("doc_id").cast("long"), low)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _bucket(key, bounds).alias("bucket"))
-    least = F.broadcast(rows.groupBy("bucket").agg(F.min(key).alias("first")).limit(MOST_BUCKETS + 1).cache())
-    heads = rows.join(least, "bucket").where(key == F.col("first")).groupBy("bucket").agg(F.min("text").alias("text"))
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    some = docs.sample(min(1.0, SAMPLE / max(size["n"], 1)), 7).select(key.alias("k")).select("k.*").collect() if buckets > 1 else []
+    ids = sorted((tuple(r) for r in some), key=lambda r: (r[0], r[1] if r[0] else 0, r[2]))
+    cuts = list(dict.fromkeys(ids[i * len(ids) // buckets] for i in range(1, buckets))) if ids else []
+    bounds = [F.struct(F.lit(k).alias("known"), F.lit(i).cast(kind).alias("id"), F.lit(h).cast("long").alias("h")) for k, i, h in cuts if (k, i, h) != ids[0]]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("key"), _bucket(key, bounds).alias("bucket"))
+    least = store(rows.groupBy("bucket").agg(F.min("key").alias("first")), "syncmer-buckets")  # MOST_BUCKETS rows at most
+    heads = rows.join(F.broadcast(least.limit(MOST_BUCKETS + 1)), "bucket").where(F.col("key") == F.col("first")).groupBy("bucket").agg(F.min("text").alias("text"))
     order = Window.orderBy(F.desc("bucket"))
     # the bucket before gets this one's first text; the last bucket the first one's
     before = F.coalesce(F.lead("bucket").over(order), F.first("bucket").over(order))
-    halo = heads.select(F.lit(None).cast(dict(docs.dtypes)["doc_id"]).alias("doc_id"), "text", before.alias("bucket"), F.lit(1).alias("halo"))
-    every = rows.withColumn("halo", F.lit(0)).unionByName(halo).select("*", *[v.alias(k) for k, v in value.items()])
-    near = Window.partitionBy("bucket").orderBy("halo", F.col("doc_id").asc_nulls_first(), "text")
+    halo = heads.select(F.lit(None).cast(kind).alias("doc_id"), "text", before.alias("bucket"), F.lit(1).alias("halo"))
+    every = rows.drop("key").withColumn("halo", F.lit(0)).unionByName(halo).select("*", *[v.alias(k) for k, v in value.items()])
+    near = Window.partitionBy("bucket").orderBy("halo", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
     out = every.select("*", *[F.lead(c).over(near).alias(f"next_{c}") for c in ("text", *value)])
     return out.where("halo = 0").drop("halo", "bucket")
 
