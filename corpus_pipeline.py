@@ -2,7 +2,7 @@
 mixing, sharding. Counted as part of the training-data subpackage.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept and returns
-a DataFrame; run() writes each stage's rows to the shared folder and gives the reread table to the
+a DataFrame, an empty one of an empty one; extra columns stay. run() writes each stage's rows to the shared folder and gives the reread table to the
 next. All stages but the last return the columns of documents.
 """
 
@@ -15,27 +15,33 @@ from veriledger.llm.common import discard, store
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is determined (operator 10)."""
+    """Keep documents whose language is determined (operator 10): null and empty texts and texts
+    without a letter go, and every row if no labelled text is there to learn from. Repeated rows stay."""
     return langid.keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group (operator 5)."""
+    """Keep one document of each near-duplicate group (operator 5), that of the smallest doc_id. Rows
+    without an id come last and are compared like others; repeated rows are one; null and empty
+    texts are one group."""
     return golay.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold benchmark passages (operator 8)."""
+    """Drop documents that hold benchmark passages (operator 8). Null and empty texts stay, repeated
+    rows go or stay alike, an empty benchmark drops nothing."""
     return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or thin documents to their source's target (operator 2)."""
+    """Repeat or thin documents to their source's target (operator 2). Null sources are a source of
+    their own, texts without words stay as their source's rate has it, repeated rows draw alike."""
     return mixing.mix(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write the mix as compacted shards; each row's placement (operator 7)."""
+    """Write the mix as compacted shards; each row's placement (operator 7): doc_id, text_bytes,
+    shard, tier, shard_rows, shard_bytes. Nulls, repeated rows and extra columns are kept."""
     return sharding.placements(docs)
 
 
