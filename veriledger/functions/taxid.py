@@ -37,10 +37,14 @@ def is_valid_tckn(c: Column) -> Column:
 
 
 def classify_tax_id(c: Column) -> Column:
-    """struct<kind, normalized, valid>: valid is null where the number can't be judged."""
-    norm, n = normalize_tax_id(c), F.length(normalize_tax_id(c))
-    inside = F.regexp_extract(c, r"(?<![0-9])([0-9]{10,11})(?![0-9])", 1)
-    labelled = norm.isNull() & (inside != "") & F.contains(F.trim(c), F.lit(" "))
-    kind = F.when(labelled, "label_captured").when(norm.isNull(), "not_numeric").when(n == 10, "vkn").when(n == 11, "tckn").otherwise("unknown_length")
-    valid = F.when(n == 10, is_valid_vkn(norm)).when(n == 11, is_valid_tckn(norm))
-    return F.struct(kind.alias("kind"), F.when(labelled, inside).otherwise(norm).alias("normalized"), valid.alias("valid"))
+    """struct<kind, normalized, valid>: valid is null where the number can't be judged. The number is
+    normalised once, in an array of one."""
+
+    def of(norm: Column) -> Column:
+        n, inside = F.length(norm), F.regexp_extract(c, r"(?<![0-9])([0-9]{10,11})(?![0-9])", 1)
+        labelled = norm.isNull() & F.contains(F.trim(c), F.lit(" ")) & (inside != "")
+        kind = F.when(labelled, "label_captured").when(norm.isNull(), "not_numeric").when(n == 10, "vkn").when(n == 11, "tckn").otherwise("unknown_length")
+        valid = F.when(n == 10, is_valid_vkn(norm)).when(n == 11, is_valid_tckn(norm))
+        return F.struct(kind.alias("kind"), F.when(labelled, inside).otherwise(norm).alias("normalized"), valid.alias("valid"))
+
+    return F.get(F.transform(F.array(normalize_tax_id(c)), of), 0)

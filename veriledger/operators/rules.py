@@ -123,9 +123,9 @@ def plausibility_issues(most_items: int = MOST_ITEMS) -> list[Column]:
 
 
 def _judged(number: Column, field: Column) -> Column:
-    found = classify_tax_id(number)
-    judged = F.when(found["kind"] == "label_captured", _issue("tax_id_label_captured", field, "warning", detail=found["normalized"])).when(found["valid"].isNull(), _issue("tax_id_unverifiable", field, "info", detail=number)).when(~found["valid"], _issue("tax_id_checksum_invalid", field, "critical", detail=number))
-    return F.when(F.coalesce(F.trim(number) != "", F.lit(False)), judged)
+    label = lambda f: _issue("tax_id_label_captured", field, "warning", detail=f["normalized"])
+    judge = lambda f: F.when(f["kind"] == "label_captured", label(f)).when(f["valid"].isNull(), _issue("tax_id_unverifiable", field, "info", detail=number)).when(~f["valid"], _issue("tax_id_checksum_invalid", field, "critical", detail=number))
+    return F.when(F.coalesce(F.trim(number) != "", F.lit(False)), F.get(F.transform(F.array(classify_tax_id(number)), judge), 0))
 
 
 def tax_id_issues(documents: DataFrame) -> list[Column]:
