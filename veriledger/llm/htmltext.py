@@ -319,7 +319,7 @@ def differences(parsed: DataFrame) -> DataFrame:
 def template(parsed: DataFrame, shared: DataFrame) -> DataFrame:
     """rid, cut: places of the shared lines that are the host's template."""
     each = parsed.where("host is not null").groupBy("host", "digest").agg(F.first("hashes").alias("hashes"))
-    each = store(each, "html-distinct")  # pages of equal lines count once
+    # pages of equal lines count once
     often = each.select("host", F.explode(F.array_distinct("hashes")).alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("pages")).where("pages > 1")
     hosts = each.groupBy("host").agg(F.count("*").alias("all"))
     seen = often.join(hosts, "host").where(F.col("pages") >= F.least(F.lit(3), F.col("all")))
@@ -345,7 +345,7 @@ def extract(pages: DataFrame, differencing: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     parsed = parse(pages)
-    cut = store(template(parsed, differences(parsed)), "html-template") if differencing else None
+    cut = template(parsed, differences(parsed)) if differencing else None
     none = F.lit(None).cast("array<int>").alias("cut")
     rows = parsed.select("rid", "page_id", "url", "kinds", "packed")
     rows = rows.join(cut, "rid", "left") if cut is not None else rows.select("*", none)
