@@ -345,7 +345,7 @@ def extract(pages: DataFrame, differencing: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     parsed = parse(pages)
-    cut = template(parsed, differences(parsed)) if differencing else None
+    cut = store(template(parsed, differences(parsed)), "html-template") if differencing else None  # its size then tells how to join
     none = F.lit(None).cast("array<int>").alias("cut")
     rows = parsed.select("rid", "page_id", "url", "kinds", "packed")
     rows = rows.join(cut, "rid", "left") if cut is not None else rows.select("*", none)
