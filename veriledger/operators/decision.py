@@ -102,13 +102,20 @@ def decide(documents: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def coverage(fields: DataFrame) -> DataFrame:
-    """doc_id, checked, unverifiable, coverage_pm (per mille) from header fields (path, value)."""
+    """doc_id, checked, unverifiable, coverage_pm (per mille) and blind, the paths that nothing can be
+    checked against, from header fields (path, value)."""
     some = fields.where((F.col("value") != "") & ~F.col("path").startswith("_") & ~F.col("path").isin(*NOT_COUNTED))
-    n = some.groupBy("doc_id").agg(F.count_if(~F.col("path").isin(*UNVERIFIABLE)).alias("checked"), F.count_if(F.col("path").isin(*UNVERIFIABLE)).alias("unverifiable"))
+    n = some.groupBy("doc_id").agg(F.count_if(~F.col("path").isin(*UNVERIFIABLE)).alias("checked"), F.count_if(F.col("path").isin(*UNVERIFIABLE)).alias("unverifiable"), F.array_sort(F.collect_list(F.when(F.col("path").isin(*UNVERIFIABLE), F.col("path")))).alias("blind"))
     of = F.col("checked") + F.col("unverifiable")
     return n.withColumn("coverage_pm", F.floor((F.col("checked") * 2000 + of) / (2 * of)))
 
 
+def with_coverage(decisions: DataFrame, covered: DataFrame) -> DataFrame:
+    """decisions with checked, coverage_pm and blind; a document without fields has 0 and none."""
+    out = decisions.join(covered.select("doc_id", "checked", "coverage_pm", "blind"), "doc_id", "left")
+    return out.withColumns({"checked": F.coalesce("checked", F.lit(0)), "coverage_pm": F.coalesce("coverage_pm", F.lit(0)), "blind": F.coalesce("blind", F.array().cast("array<string>"))})
+
+
 def portfolio(decisions: DataFrame) -> DataFrame:
     """Per verdict: documents, the first and last id, sums of impacts."""
     return decisions.groupBy("verdict").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.sum("financial_k").alias("financial_k"), F.sum("internal_k").alias("internal_k"))

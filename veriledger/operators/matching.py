@@ -154,7 +154,7 @@ def discrepancies(both: DataFrame) -> DataFrame:
     """doc_id, line, field, po_value, inv_value, severity, diff_bp (hundredths of a per cent of the
     order's value): quantities, prices and totals that aren't close, or that one side lacks, and,
     where pairs have sim, descriptions under 80 % alike. Rows of match_lines that are lone become one
-    row, _extra_invoice_line or _missing_po_line."""
+    row, _extra_invoice_line or _missing_po_line, with its pos and lone_description."""
 
     def of(field: str, column: str, tolerance: float, severity: str) -> Column:
         a, b = F.col(f"po_{column}"), F.col(f"inv_{column}")
@@ -171,8 +171,8 @@ def discrepancies(both: DataFrame) -> DataFrame:
         text = F.when(F.col("sim") < SAME_TEXT, one("description", "warning", null))
         lone = F.when(F.col("side") == "po", one("_missing_po_line", "warning", F.col("po_total_k"))).otherwise(one("_extra_invoice_line", "critical", F.col("inv_total_k")))
         found = F.when(F.col("side") == "pair", F.concat(found, F.array(text))).otherwise(F.array(lone))
-        carried += ["po_sku", "inv_sku"]
-    return both.select(*carried, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("d")).select(*carried, "d.*")
+        carried += ["po_sku", "inv_sku", F.coalesce("po_pos", "inv_pos").alias("pos"), F.when(F.col("side") == "po", F.col("po_description")).when(F.col("side") == "inv", F.col("inv_description")).alias("lone_description")]
+    return both.select(*carried, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("d")).select("*", "d.*").drop("d")
 
 
 def _type_of(df: DataFrame, c: Column):

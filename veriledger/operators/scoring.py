@@ -74,15 +74,17 @@ def document_scores(fields: DataFrame) -> DataFrame:
 
 
 def batch_scores(documents: DataFrame) -> DataFrame:
-    return documents.agg(F.count("*").alias("total_documents"), F.round(F.avg("em"), 4).alias("em"), F.round(F.avg("f1"), 4).alias("f1"))
+    more = [F.round(F.avg("sim"), 4).alias("sim")] if "sim" in documents.columns else []
+    return documents.agg(F.count("*").alias("total_documents"), F.round(F.avg("em"), 4).alias("em"), F.round(F.avg("f1"), 4).alias("f1"), *more)
 
 
 def aggregate_run(rows: DataFrame) -> DataFrame:
-    """block, documents, em, f1 of the whole run, its OK documents and each type, in one pass. A
+    """block, documents, em, f1 and, where there is one, sim of the whole run, its OK documents and each type, in one pass. A
     document without a score counts as 0 and stays in the denominator."""
     blocks = F.array(F.lit("overall"), F.when(F.col("verdict") == "OK", "ok_only"), F.concat(F.lit("type:"), F.col("doc_type")))
     spread = rows.withColumn("block", F.explode(F.filter(blocks, lambda x: x.isNotNull())))
-    return spread.groupBy("block").agg(F.count("*").alias("documents"), F.round(F.avg(F.coalesce("em", F.lit(0.0))), 4).alias("em"), F.round(F.avg(F.coalesce("f1", F.lit(0.0))), 4).alias("f1"))
+    scores = [c for c in ("em", "f1", "sim") if c in rows.columns]
+    return spread.groupBy("block").agg(F.count("*").alias("documents"), *[F.round(F.avg(F.coalesce(c, F.lit(0.0))), 4).alias(c) for c in scores])
 
 
 def item_similarity(pairs: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from veriledger.functions.text import CURRENCIES
 from veriledger.operators.decision import FIELD_KINDS, PRICED_RULES, RULE_KINDS, UNVERIFIABLE
-from veriledger.operators.reporting import ANOMALIES, FIELD_ANOMALY, TITLES
-from veriledger.plans.queries import MOST_ITEMS, RATES, RULES
+from veriledger.operators.reporting import AMOUNT_KINDS, ANOMALIES, BLIND, BLIND_NOTE, FIELD_ANOMALY, FOUND, HOLD_SUBTITLES, ICONS, KINDS, LONE, LONGEST, MATCH_VERDICTS, OVERCHARGED, SHORTENED, SIGNS, SUBTITLES, TITLES, TO_DO
+from veriledger.plans.queries import EXTRA_ORD, FIELD_ORD, HEAD_ORD, MISSING_ORD, MOST_ITEMS, RATES, RULES
 from veriledger.plans.views import with_views
 
 ORACLES: dict[str, str] = {}
@@ -237,8 +237,8 @@ MATCH = f"""pk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER B
 ik AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) AS k FROM (SELECT *, coalesce('s ' || lower(sku), 'd ' || description) AS key FROM inv_lines)),
 pair AS (SELECT p.doc_id, p.pos AS po_pos, i.pos AS inv_pos, p.qty AS pq, p.price_k AS pp, p.total_k AS pt, i.qty AS iq, i.price_k AS ip, i.total_k AS it, CASE WHEN p.description IS NOT DISTINCT FROM i.description THEN 1.0 ELSE 0.0 END::DOUBLE AS sim, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.pos) - 1 AS line
   FROM pk p JOIN ik i ON p.doc_id = i.doc_id AND p.key = i.key AND p.k = i.k),
-lone AS (SELECT doc_id, pos, 'po' AS side, sku, NULL::BIGINT AS total_k FROM po_lines WHERE doc_id * 100000 + pos NOT IN (SELECT doc_id * 100000 + po_pos FROM pair)
-  UNION ALL SELECT doc_id, pos, 'inv', sku, total_k FROM inv_lines WHERE doc_id * 100000 + pos NOT IN (SELECT doc_id * 100000 + inv_pos FROM pair)),
+lone AS (SELECT doc_id, pos, 'po' AS side, sku, NULL::BIGINT AS total_k, description FROM po_lines WHERE doc_id * 100000 + pos NOT IN (SELECT doc_id * 100000 + po_pos FROM pair)
+  UNION ALL SELECT doc_id, pos, 'inv', sku, total_k, description FROM inv_lines WHERE doc_id * 100000 + pos NOT IN (SELECT doc_id * 100000 + inv_pos FROM pair)),
 three AS (SELECT *, unnest(['quantity', 'unit_price', 'total']) AS field, unnest([pq, pp, pt]) AS a, unnest([iq, ip, it]) AS b, unnest([0.001, 0.02, 0.02]) AS tol FROM pair),
 disc AS (SELECT doc_id, line, field, a AS po_value, b AS inv_value, CASE WHEN a IS NULL OR b IS NULL OR field = 'total' THEN 'warning' ELSE 'critical' END AS severity,
   CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN (abs(a - b) * 20000 + greatest(abs(a), 1)) // (2 * greatest(abs(a), 1)) END AS diff_bp, pq, pp, iq, ip
@@ -273,10 +273,11 @@ put_match("FD-05_currency_check", "SELECT doc_id, matched, severity FROM scal WH
 put("GR-01_goods_receipts", """WITH li AS (SELECT l_orderkey AS doc_id, 'SKU-' || l_partkey AS sku, CAST(sum(l_quantity) AS BIGINT) AS qty, min(l_partkey) AS partkey FROM lineitem GROUP BY ALL),
   x AS (SELECT *, CASE WHEN partkey % 9 <> 0 THEN qty - CASE WHEN partkey % 4 = 0 THEN 1 ELSE 0 END ELSE 0 END AS got FROM li)
   SELECT doc_id, sku, 'invoiced_over_received' AS rule, 'critical' AS severity FROM x WHERE qty > got UNION ALL SELECT doc_id, sku, 'received_under_ordered', 'warning' FROM x WHERE got < qty UNION ALL SELECT doc_id, sku, 'received_after_invoice', 'warning' FROM x WHERE partkey % 9 <> 0 AND partkey % 6 = 0""")
-put_match("AG-02_match_summary", """, sv AS (SELECT doc_id, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warnings FROM (SELECT doc_id, severity FROM disc UNION ALL SELECT doc_id, severity FROM scal) GROUP BY doc_id),
+STATUS = """, sv AS (SELECT doc_id, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warnings FROM (SELECT doc_id, severity FROM disc UNION ALL SELECT doc_id, severity FROM scal) GROUP BY doc_id),
   s AS (SELECT d.doc_id, coalesce(a.n, 0) AS matched, coalesce(p.n, 0) AS unmatched_po, coalesce(i.n, 0) AS unmatched_inv, coalesce(critical, 0) AS critical, coalesce(warnings, 0) AS warnings FROM inv_docs d LEFT JOIN (SELECT doc_id, count(*) AS n FROM pair GROUP BY 1) a ON a.doc_id = d.doc_id
-    LEFT JOIN (SELECT doc_id, count(*) AS n FROM lone WHERE side = 'po' GROUP BY 1) p ON p.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM lone WHERE side = 'inv' GROUP BY 1) i ON i.doc_id = d.doc_id LEFT JOIN sv ON sv.doc_id = d.doc_id)
-  SELECT *, (matched * 20000 + greatest(matched + unmatched_po, 1)) // (2 * greatest(matched + unmatched_po, 1)) AS match_rate_bp, CASE WHEN critical > 0 THEN 'REJECT' WHEN warnings + unmatched_po + unmatched_inv > 0 THEN 'REVIEW' ELSE 'APPROVE' END AS overall_status FROM s""")
+    LEFT JOIN (SELECT doc_id, count(*) AS n FROM lone WHERE side = 'po' GROUP BY 1) p ON p.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM lone WHERE side = 'inv' GROUP BY 1) i ON i.doc_id = d.doc_id LEFT JOIN sv ON sv.doc_id = d.doc_id),
+  sm AS (SELECT *, (matched * 20000 + greatest(matched + unmatched_po, 1)) // (2 * greatest(matched + unmatched_po, 1)) AS match_rate_bp, CASE WHEN critical > 0 THEN 'REJECT' WHEN warnings + unmatched_po + unmatched_inv > 0 THEN 'REVIEW' ELSE 'APPROVE' END AS overall_status FROM s)"""
+put_match("AG-02_match_summary", STATUS + " SELECT * FROM sm")
 
 # ---- findings and decisions
 
@@ -309,6 +310,13 @@ DECIDED = f""", ag AS (SELECT doc_id, bool_or(holds_payment) AS hold, bool_or(se
   FROM inv_docs d LEFT JOIN ag ON ag.doc_id = d.doc_id LEFT JOIN {impact("fl", "cross_source")} x ON x.doc_id = d.doc_id LEFT JOIN {impact("fl", "single_document")} y ON y.doc_id = d.doc_id)"""
 put_all("AG-05_decide", DECIDED + " SELECT * FROM dec")
 put_all("AG-17_portfolio", DECIDED + " SELECT verdict, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id, CAST(sum(financial_k) AS BIGINT) AS financial_k, CAST(sum(internal_k) AS BIGINT) AS internal_k FROM dec GROUP BY verdict")
+put_all("AG-17_members", DECIDED + " SELECT verdict, doc_id FROM dec")
+put(
+    "AG-05_coverage",
+    f"""WITH {ALL}{DECIDED}, cv AS (SELECT doc_id, count(*) FILTER (path NOT IN {listed(UNVERIFIABLE)}) AS c, count(*) FILTER (path IN {listed(UNVERIFIABLE)}) AS u, string_agg(path, ',' ORDER BY path) FILTER (path IN {listed(UNVERIFIABLE)}) AS b FROM fields WHERE predicted <> '' GROUP BY doc_id)
+  SELECT dec.doc_id, verdict, coalesce(c, 0) AS checked, coalesce((c * 2000 + c + u) // (2 * (c + u)), 0) AS coverage_pm, coalesce(b, '') AS blind FROM dec LEFT JOIN cv ON cv.doc_id = dec.doc_id""",
+    "inv_docs", "po_lines", "inv_lines", "incoming", "fields",
+)
 put_all("SE-01_findings", "SELECT source, severity, count(*) AS n FROM fl GROUP BY ALL")
 put_issues("AG-01_severities", "SELECT doc_id, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info FROM issues GROUP BY doc_id")
 put("AG-06_coverage", f"""SELECT doc_id, c AS checked, u AS unverifiable, (c * 2000 + c + u) // (2 * (c + u)) AS coverage_pm FROM (SELECT doc_id, count(*) FILTER (path NOT IN {listed(UNVERIFIABLE)}) AS c, count(*) FILTER (path IN {listed(UNVERIFIABLE)}) AS u
@@ -317,16 +325,42 @@ put_match("JN-14_optional_po", f""", h AS (SELECT * FROM pf WHERE doc_id % 2 = 0
   SELECT d.doc_id, CASE WHEN hold THEN 'HOLD' WHEN crit THEN 'REVIEW' ELSE 'PAY' END AS verdict, coalesce(impact_k, 0) AS financial_k FROM inv_docs d LEFT JOIN ag ON ag.doc_id = d.doc_id LEFT JOIN {impact("h", "cross_source")} x ON x.doc_id = d.doc_id""")
 put_match("RP-04_json", f""", ag AS (SELECT doc_id, bool_or(severity = 'critical' AND abs(amount_k) >= 1) AS hold, bool_or(severity = 'critical') AS crit FROM pf GROUP BY doc_id)
   SELECT d.doc_id, '{{"verdict":"' || CASE WHEN hold THEN 'HOLD' WHEN crit THEN 'REVIEW' ELSE 'PAY' END || '","financial_k":' || coalesce(impact_k, 0) || '}}' AS json FROM inv_docs d LEFT JOIN ag ON ag.doc_id = d.doc_id LEFT JOIN {impact("pf", "cross_source")} x ON x.doc_id = d.doc_id""")
-put_match("RP-02_decision_text", f""", ag AS (SELECT doc_id, bool_or(severity = 'critical' AND abs(amount_k) >= 1) AS hold, bool_or(severity = 'critical') AS crit FROM pf GROUP BY doc_id)
-  SELECT d.doc_id, CASE WHEN hold THEN '{TITLES["HOLD"]}' WHEN crit THEN '{TITLES["REVIEW"]}' ELSE '{TITLES["PAY"]}' END AS title, CASE WHEN impact_k <> 0 THEN CASE WHEN impact_k < 0 THEN '-' ELSE '' END || translate(format('{{:,}}', abs(impact_k) // 100), ',', '.') || ',' || lpad(CAST(abs(impact_k) % 100 AS VARCHAR), 2, '0') || ' TL' END AS impact
-  FROM inv_docs d LEFT JOIN ag ON ag.doc_id = d.doc_id LEFT JOIN {impact("pf", "cross_source")} x ON x.doc_id = d.doc_id""")
-PROB = f""", pr AS (SELECT doc_id, line * 10 + CASE field WHEN 'quantity' THEN 0 WHEN 'unit_price' THEN 1 WHEN 'total' THEN 2 ELSE 3 END AS ord, {case("field", FIELD_ANOMALY, "'OTHER'")} AS code, CASE severity WHEN 'critical' THEN 'HIGH' ELSE 'MEDIUM' END AS level FROM disc),
-  lb AS (SELECT *, {case("code", {k: v[0] for k, v in ANOMALIES.items()}, "''")} AS label, {case("code", {k: v[1] for k, v in ANOMALIES.items()}, "''")} AS action FROM pr),
-  tp AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE level WHEN 'HIGH' THEN 0 ELSE 1 END, ord) AS n FROM lb)"""
-put_match("RP-01_match_problems", PROB + " SELECT doc_id, ord, code, level, label FROM lb")
-put_match("RP-03_chat", PROB + " SELECT doc_id, string_agg('*' || label || '* → ' || action, chr(10) ORDER BY n) AS message FROM tp WHERE n <= 6 GROUP BY doc_id")
-put_match("SO-04_top_problems", PROB + " SELECT doc_id, count(*) AS n FROM tp WHERE n <= 6 GROUP BY doc_id")
-put_match("SO-02_problem_order", "SELECT doc_id, max(abs(amount_k)) AS largest_k FROM pf GROUP BY doc_id")
+
+
+def money(k: str) -> str:
+    return f"CASE WHEN {k} < 0 THEN '-' ELSE '' END || translate(format('{{:,}}', abs({k}) // 100), ',', '.') || ',' || lpad(CAST(abs({k}) % 100 AS VARCHAR), 2, '0') || ' TL'"
+
+
+PLACED = """, pl AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY amount_k IS NULL, -abs(coalesce(amount_k, 0)), CASE severity WHEN 'critical' THEN 0 ELSE 1 END, coalesce(line, 1000000000), kind, field, coalesce(expected, ''), coalesce(actual, '')) AS place FROM pf)"""
+put_match("SO-02_problem_order", PLACED + " SELECT doc_id, place, kind, field, severity, amount_k, line FROM pl")
+_SHOWN = lambda c: f"CASE WHEN kind IN {listed(AMOUNT_KINDS)} THEN {money(f'TRY_CAST({c} AS BIGINT)')} ELSE {c} END"
+put(
+    "RP-02_decision_text",
+    f"""WITH {MATCH}{PLACED}, ag AS (SELECT doc_id, bool_or(severity = 'critical' AND abs(amount_k) >= 1) AS hold, bool_or(severity = 'critical') AS crit,
+    first(kind ORDER BY coalesce(line, 1000000000), kind, field, coalesce(expected, ''), coalesce(actual, '')) FILTER (severity = 'critical' AND kind IN {listed(HOLD_SUBTITLES)}) AS cause,
+    string_agg('• ' || {case("kind", {k: v[0] for k, v in KINDS.items()}, "kind")} || CASE WHEN amount_k <> 0 THEN '  (' || {money("amount_k")} || ')' ELSE '' END || CASE WHEN expected IS NOT NULL AND actual IS NOT NULL THEN chr(10) || '    Beklenen: ' || {_SHOWN("expected")} || '    Faturada: ' || {_SHOWN("actual")} ELSE '' END
+      || coalesce(chr(10) || '    → ' || {case("kind", {k: v[1] for k, v in KINDS.items()}, "NULL")}, ''), chr(10) || chr(10) ORDER BY place) AS said FROM pl GROUP BY doc_id),
+  bl AS (SELECT doc_id, count(*) AS n, string_agg(path, ', ' ORDER BY path) AS blind FROM fields WHERE predicted <> '' AND path IN {listed(UNVERIFIABLE)} GROUP BY doc_id),
+  dc AS (SELECT d.doc_id, CASE WHEN hold THEN 'HOLD' WHEN crit THEN 'REVIEW' ELSE 'PAY' END AS verdict, cause, said, n, blind, CASE WHEN impact_k <> 0 THEN {money("impact_k")} END AS impact FROM inv_docs d LEFT JOIN ag ON ag.doc_id = d.doc_id LEFT JOIN {impact("pf", "cross_source")} x ON x.doc_id = d.doc_id LEFT JOIN bl ON bl.doc_id = d.doc_id),
+  hl AS (SELECT *, {case("verdict", TITLES, "''")} AS title, CASE WHEN verdict = 'HOLD' THEN {case("cause", HOLD_SUBTITLES, f"'{SUBTITLES['HOLD']}'")} ELSE {case("verdict", SUBTITLES, "''")} END AS subtitle FROM dc)
+  SELECT doc_id, title, subtitle, impact, NULL::VARCHAR AS internal, concat_ws(chr(10) || chr(10), {case("verdict", SIGNS, "''")} || ' ' || title || chr(10) || subtitle, '{OVERCHARGED}' || impact, said, '{BLIND}(' || n || '): ' || blind || chr(10) || '{BLIND_NOTE}') AS text FROM hl""",
+    "inv_docs", "po_lines", "inv_lines", "fields",
+)
+_ORD = "line * 10 + list_position([" + ", ".join(f"'{f}'" for f in FIELD_ORD) + "], field) - 1"
+PROB = f""", p0 AS (SELECT doc_id, {_ORD} AS ord, field, severity, '' AS raw_desc FROM disc UNION ALL SELECT doc_id, {HEAD_ORD} + length(field), field, severity, '' FROM scal WHERE severity <> 'ok'
+    UNION ALL SELECT doc_id, CASE side WHEN 'inv' THEN {EXTRA_ORD} ELSE {MISSING_ORD} END + pos, CASE side WHEN 'inv' THEN '_extra_invoice_line' ELSE '_missing_po_line' END, CASE side WHEN 'inv' THEN 'critical' ELSE 'warning' END,
+    CASE side WHEN 'inv' THEN '{LONE["_extra_invoice_line"]}' ELSE '{LONE["_missing_po_line"]}' END || coalesce(': ' || description, '') FROM lone),
+  pr AS (SELECT doc_id, ord, {case("field", FIELD_ANOMALY, "'OTHER'")} AS code, CASE severity WHEN 'critical' THEN 'HIGH' ELSE 'MEDIUM' END AS level, raw_desc FROM p0),
+  lb AS (SELECT *, {case("level", ICONS, "''")} AS icon, {case("code", {k: v[0] for k, v in ANOMALIES.items()}, "''")} AS label, {case("code", {k: v[1] for k, v in ANOMALIES.items()}, "''")} AS detail, {case("code", {k: v[2] for k, v in ANOMALIES.items()}, "''")} AS action FROM pr),
+  tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE level WHEN 'HIGH' THEN 0 ELSE 1 END, ord) AS n FROM lb) WHERE n <= 6)"""
+VERDICT = ", vd AS (SELECT doc_id, " + ", ".join(f"{case('overall_status', {k: v[i] for k, v in MATCH_VERDICTS.items()}, chr(39) * 2)} AS {c}" for i, c in enumerate(("icon", "title", "subtitle", "color", "action"))) + " FROM sm)"
+put_match("RP-01_match_problems", PROB + " SELECT doc_id, ord, code, level, icon, label, detail, raw_desc, action FROM lb")
+put_match("RP-01_match_verdict", STATUS + VERDICT + " SELECT * FROM vd")
+put_match("SO-04_top_problems", PROB + " SELECT doc_id, n, code, level, ord FROM tp")
+_LINES = "icon || ' *' || label || '*' || CASE WHEN raw_desc <> '' THEN chr(10) || '   _' || substr(raw_desc, 1, 100) || '_' ELSE '' END || chr(10) || '   → ' || action"
+put_match("RP-03_chat", STATUS + VERDICT + PROB + f""", ls AS (SELECT doc_id, string_agg({_LINES}, chr(10) || chr(10) ORDER BY n) AS listed FROM tp GROUP BY doc_id),
+  ms AS (SELECT vd.doc_id, concat_ws(chr(10) || chr(10), icon || ' *' || title || '*' || chr(10) || '_' || subtitle || '_', '{FOUND}' || chr(10) || listed, '{TO_DO}' || chr(10) || action) || chr(10) AS t FROM vd LEFT JOIN ls ON ls.doc_id = vd.doc_id)
+  SELECT doc_id, CASE WHEN length(t) > {LONGEST} THEN substr(t, 1, {LONGEST - 50}) || '{SHORTENED}' ELSE t END AS message FROM ms""")
 
 # ---- scoring
 

@@ -479,7 +479,7 @@ def _(s, d):
 
 
 @query("AG-02_match_summary")
-def _(s, d):
+def match_summary(s, d):
     out = matching.summary(view(s, d, "inv_docs"), lines(s, d), scalars(s, d))
     return out.select("doc_id", "matched", "unmatched_po", "unmatched_inv", "critical", "warnings", "match_rate_bp", "overall_status")
 
@@ -510,6 +510,8 @@ QUERIES["SE-01_findings"] = lambda s, d: all_findings(s, d).groupBy("source", "s
 QUERIES["AG-01_severities"] = lambda s, d: found(s, d).groupBy("doc_id").agg(*[F.count_if(F.col("severity") == x).alias(x) for x in ("critical", "warning", "info")])
 QUERIES["AG-06_coverage"] = lambda s, d: decision.coverage(_flat(s, d, "predicted")).select("doc_id", "checked", "unverifiable", "coverage_pm")
 QUERIES["AG-17_portfolio"] = lambda s, d: decision.portfolio(decision.decide(view(s, d, "inv_docs"), all_findings(s, d)))
+QUERIES["AG-17_members"] = lambda s, d: decision.decide(view(s, d, "inv_docs"), all_findings(s, d)).select("verdict", "doc_id")
+QUERIES["AG-05_coverage"] = lambda s, d: decision.with_coverage(decision.decide(view(s, d, "inv_docs"), all_findings(s, d)), decision.coverage(_flat(s, d, "predicted"))).select("doc_id", "verdict", "checked", "coverage_pm", F.array_join("blind", ",").alias("blind"))
 QUERIES["JN-14_optional_po"] = lambda s, d: decision.decide(view(s, d, "inv_docs"), po_findings(s, d).where("doc_id % 2 = 0")).select("doc_id", "verdict", "financial_k")
 
 
@@ -532,14 +534,15 @@ def predicted(s, d):
     return view(s, d, "fields").where("predicted is not null").select("doc_id", "path", "predicted")
 
 
-def scored(s, d):
-    return scoring.field_scores(scoring.joined_fields(truth(s, d), predicted(s, d)), similarity=False)
+def scored(s, d, similarity: bool = False):
+    return scoring.field_scores(scoring.joined_fields(truth(s, d), predicted(s, d)), similarity)
 
 
-def runs(s, d):
+def runs(s, d, similarity: bool = False):
     v = view(s, d, "inv_docs").select("doc_id", "doc_type")
     verdict = F.when(F.col("doc_id") % 4 == 0, "REVIEW").otherwise("OK")
-    return v.join(scoring.document_scores(scored(s, d)), "doc_id", "left").withColumn("em", F.when(F.col("doc_id") % 13 != 0, F.col("em"))).withColumn("f1", F.when(F.col("doc_id") % 13 != 0, F.col("f1"))).withColumn("verdict", verdict)
+    out = v.join(scoring.document_scores(scored(s, d, similarity)), "doc_id", "left").withColumn("verdict", verdict)
+    return out.withColumns({c: F.when(F.col("doc_id") % 13 != 0, F.col(c)) for c in ("em", "f1", "sim") if c in out.columns})
 
 
 QUERIES["JN-12_fields"] = lambda s, d: scoring.joined_fields(truth(s, d), predicted(s, d))
@@ -613,6 +616,11 @@ def _(s, d):
 QUERIES["AG-08_document_scores"] = lambda s, d: scoring.document_scores(scored(s, d))
 QUERIES["AG-09_batch_scores"] = lambda s, d: scoring.batch_scores(scoring.document_scores(scored(s, d)))
 QUERIES["AG-10_run"] = lambda s, d: scoring.aggregate_run(runs(s, d))
+# The same with the likeness of texts, which SQL doesn't have; tested against a plain version.
+QUERIES["SC-05_similarity"] = lambda s, d: scored(s, d, True).select("doc_id", "path", "em", "f1", "sim")
+QUERIES["AG-08_similarity"] = lambda s, d: scoring.document_scores(scored(s, d, True))
+QUERIES["AG-09_similarity"] = lambda s, d: scoring.batch_scores(scoring.document_scores(scored(s, d, True)))
+QUERIES["AG-10_similarity"] = lambda s, d: scoring.aggregate_run(runs(s, d, True))
 QUERIES["AG-11_raw_delta"] = lambda s, d: scoring.document_scores(scored(s, d)).alias("a").join(scoring.document_scores(scored(s, d).where("path <> 'tax_rate'")).alias("b"), "doc_id").agg(F.round(F.avg("a.em"), 4).alias("em"), F.round(F.avg("b.em"), 4).alias("raw_em"))
 QUERIES["AG-16_pilot"] = lambda s, d: scored(s, d).agg(F.round(F.avg("em"), 4).alias("em"), F.count("*").alias("fields_scored"), F.count_if(F.col("em") == 0).alias("misses"))
 QUERIES["AG-20_misses"] = lambda s, d: scoring.misses(scored(s, d))
@@ -702,35 +710,41 @@ def _(s, d):
 # ---- reports
 
 
+#: Places of problems: lines of pairs by line and field, then the header, then lone lines by pos.
+FIELD_ORD = ("quantity", "unit_price", "total", "description")
+HEAD_ORD, EXTRA_ORD, MISSING_ORD = 10**9, 2 * 10**9, 3 * 10**9
+
+
 def problems(s, d):
-    f = discrepancies(s, d).select("doc_id", (F.col("line") * 10 + F.when(F.col("field") == "quantity", 0).when(F.col("field") == "unit_price", 1).when(F.col("field") == "total", 2).otherwise(3)).alias("ord"), "field", "severity")
-    return reporting.match_problems(f)
+    place = F.array_position(F.array(*map(F.lit, FIELD_ORD)), F.col("field")) - 1
+    by_line = F.when(F.col("field") == "_extra_invoice_line", EXTRA_ORD + F.col("pos")).when(F.col("field") == "_missing_po_line", MISSING_ORD + F.col("pos")).otherwise(F.col("line") * 10 + place)
+    said = F.when(F.col("line").isNull(), reporting.lone_line(F.col("field"), F.col("lone_description"))).otherwise("")
+    found = matching.discrepancies(lines(s, d)).select("doc_id", by_line.alias("ord"), "field", "severity", said.alias("message"))
+    head = scalars(s, d).where("severity <> 'ok'").select("doc_id", (HEAD_ORD + F.length("field")).cast("long").alias("ord"), "field", "severity", F.lit("").alias("message"))
+    return reporting.match_problems(found.unionByName(head))
 
 
 def with_order(s, d):
+    """Findings of orders, in an order that follows from their values."""
     f = decision.with_flags(po_findings(s, d))
-    return f.withColumn("ord", F.xxhash64("kind", "line", "field", "expected", "actual", "amount_k"))
+    return f.withColumn("ord", F.struct(F.coalesce("line", F.lit(HEAD_ORD)), "kind", "field", F.coalesce("expected", F.lit("")), F.coalesce("actual", F.lit(""))))
 
 
-QUERIES["RP-01_match_problems"] = lambda s, d: problems(s, d).select("doc_id", "ord", "code", "level", "label")
-QUERIES["RP-03_chat"] = lambda s, d: reporting.chat_message(problems(s, d))
-QUERIES["SO-04_top_problems"] = lambda s, d: reporting.chat_message(problems(s, d)).select("doc_id", F.size(F.split("message", "\n")).cast("long").alias("n"))
+def verdicts(s, d):
+    return reporting.match_verdict(match_summary(s, d))
 
 
-@query("SO-02_problem_order")
-def _(s, d):
-    f = with_order(s, d).groupBy("doc_id", "is_financial", "amount_k", "severity").agg(F.min("ord").alias("ord"))
-    f = f.withColumn("ord", F.lit(0))
-    from pyspark.sql import Window
-
-    top = reporting.ordered_problems(f).where("place = 1")
-    return top.select("doc_id", F.abs("amount_k").alias("largest_k"))
+QUERIES["RP-01_match_problems"] = problems
+QUERIES["RP-01_match_verdict"] = verdicts
+QUERIES["RP-03_chat"] = lambda s, d: reporting.chat_message(verdicts(s, d), problems(s, d))
+QUERIES["SO-04_top_problems"] = lambda s, d: reporting.top_problems(problems(s, d)).select("doc_id", F.col("n").cast("long").alias("n"), "code", "level", "ord")
+QUERIES["SO-02_problem_order"] = lambda s, d: reporting.ordered_problems(with_order(s, d)).select("doc_id", F.col("place").cast("long").alias("place"), "kind", "field", "severity", "amount_k", "line")
 
 
 @query("RP-02_decision_text")
 def _(s, d):
     f = with_order(s, d)
-    return reporting.decision_texts(decision.decide(view(s, d, "inv_docs"), f.select(*decision.FINDING)), f).select("doc_id", "title", "impact")
+    return reporting.decision_texts(decision.decide(view(s, d, "inv_docs"), f.select(*decision.FINDING)), f, decision.coverage(_flat(s, d, "predicted")))
 
 
 QUERIES["RP-04_json"] = lambda s, d: reporting.as_json(decision.decide(view(s, d, "inv_docs"), po_findings(s, d)).select("doc_id", "verdict", "financial_k"))
