@@ -3,6 +3,8 @@ plain ones, scoring plain lower case: three domains that must not be mixed."""
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,15 +23,29 @@ CURRENCIES = {
 DATE_FORMATS = ("yyyy-M-d", "d.M.yyyy", "d/M/yyyy", "d-M-yyyy")
 
 
+#: Latin and Greek letters with marks, from their canonical decompositions to one character each.
+MARKS = "\u0300-\u036f"
+COMPOSED = {unicodedata.normalize("NFD", chr(i)): chr(i) for lo, hi in ((0xC0, 0x250), (0x386, 0x3CF), (0x1E00, 0x1F00)) for i in range(lo, hi) if len(unicodedata.normalize("NFD", chr(i))) > 1}
+
+
+def compose(c: Column) -> Column:
+    """Letters followed by combining marks as single characters, as NFC has them, for Latin and
+    Greek letters; other text stays. Text without such marks, nearly all, is only searched for one."""
+    one = F.create_map(*[F.lit(x) for kv in COMPOSED.items() for x in kv])
+    letters = F.regexp_extract_all(c, F.lit(f"(?s).[{MARKS}]*"), F.lit(0))
+    joined = F.array_join(F.transform(letters, lambda x: F.when(F.length(x) > 1, F.coalesce(F.try_element_at(one, x), x)).otherwise(x)), "")
+    return F.when(c.rlike(f"[{MARKS}]"), joined).otherwise(c)
+
+
 def normalise_name(c: Column) -> Column:
-    """A company name without legal form, case and punctuation. Input is taken to be NFC."""
-    low = F.lower(F.translate(F.coalesce(c, F.lit("")), TURKISH_UPPER, TURKISH_LOWER))
+    """A company name without legal form, case and punctuation."""
+    low = F.lower(F.translate(compose(F.coalesce(c, F.lit(""))), TURKISH_UPPER, TURKISH_LOWER))
     bare = F.regexp_replace(low, LEGAL_FORMS, " ")
     return F.trim(F.regexp_replace(bare, NOT_KEY, " "))
 
 
 def normalise_doc_number(c: Column) -> Column:
-    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), NOT_KEY, "")
+    return F.regexp_replace(F.lower(compose(F.coalesce(c, F.lit("")))), NOT_KEY, "")
 
 
 def number_core(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veriledger.operators.rules import issue_message
+
 FINDING = ["doc_id", "kind", "severity", "field", "source", "message", "basis", "expected", "actual", "amount_k", "line", "blocks_payment"]
 #: The kind of finding each rule leads to.
 RULE_KINDS = {
@@ -34,7 +36,7 @@ def from_verification(issues: DataFrame) -> DataFrame:
     """One document read on its own: arithmetic is priced, but is nobody's debt."""
     kind = _named(RULE_KINDS, F.col("rule"), F.coalesce(F.nullif(F.upper("rule"), F.lit("")), F.lit("OTHER")))
     price = F.when(F.col("rule").isin(*PRICED_RULES), F.col("actual_k") - F.col("expected_k"))
-    return _finding(issues, kind=kind, severity=F.col("severity"), field=F.col("field"), source="document", basis="single_document", message=F.coalesce("detail", F.lit("")), expected=F.col("expected_k").cast("string"), actual=F.col("actual_k").cast("string"), amount_k=price)
+    return _finding(issues, kind=kind, severity=F.col("severity"), field=F.col("field"), source="document", basis="single_document", message=issue_message(), expected=F.col("expected_k").cast("string"), actual=F.col("actual_k").cast("string"), amount_k=price)
 
 
 def from_discrepancies(found: DataFrame) -> DataFrame:

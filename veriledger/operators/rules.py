@@ -22,6 +22,13 @@ TAX = {"invoice": "vendor_tax_id", "po": "supplier_tax_id", "receipt": "store_ta
 TAX_FIELDS = ("vendor_tax_id", "buyer_tax_id", "supplier_tax_id", "store_tax_id", "tax_id")
 AMOUNTS = {"subtotal": "sub", "tax_amount": "tax", "total_amount": "amount", "change_amount": "change"}
 NOT_CORRECTABLE = ("tax_id_checksum_invalid",)
+#: What an issue of a rule says, before the value or figures it is about.
+MESSAGES = {
+    "required_field_missing": "required, but missing or empty", "date_format_invalid": "not written as YYYY-MM-DD", "date_invalid": "not a day of the calendar", "date_implausible": "year is implausible",
+    "numeric_invalid": "not a number", "negative_amount": "amount is negative", "item_total_mismatch": "quantity times price, less discount, isn't the line's total", "negative_discount": "discount is negative",
+    "subtotal_mismatch": "lines don't add up to the subtotal", "total_mismatch": "parts don't add up to the total", "tax_rate_implausible": "tax is over half of the subtotal", "too_many_items": "unusually many lines",
+    "total_implausible": "total is implausibly large", "tax_id_label_captured": "the number came with its label", "tax_id_unverifiable": "no check digit to verify", "tax_id_checksum_invalid": "check digit is wrong", "seller_tax_id_missing": "the seller's number is missing on a lira invoice",
+}
 ISSUE = "struct<rule:string,field:string,severity:string,expected_k:bigint,actual_k:bigint,detail:string>"
 
 
@@ -160,6 +167,14 @@ def issues(verified: DataFrame) -> DataFrame:
     return verified.select("doc_id", "doc_type", F.posexplode("issues").alias("ord", "i")).select("doc_id", "doc_type", "ord", "i.*")
 
 
+def issue_message() -> Column:
+    """Of an issue's row: what is wrong, then the value it is about, or both figures."""
+    said = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv]), F.col("rule")), F.col("rule"))
+    figure = lambda c: F.format_string("%.2f", F.col(c) / F.lit(100.0))
+    both = F.when(F.col("expected_k").isNotNull() & F.col("actual_k").isNotNull(), F.concat(F.lit("expected "), figure("expected_k"), F.lit(", found "), figure("actual_k")))
+    return F.concat_ws(": ", said, F.coalesce("detail", both))
+
+
 def is_correctable(rule: Column, flag: Column | None = None) -> Column:
     """An explicit flag, else whether a right value can be derived at all."""
     derived = ~rule.isin(*NOT_CORRECTABLE)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from veriledger.functions.text import CURRENCIES
 from veriledger.operators.decision import FIELD_KINDS, PRICED_RULES, RULE_KINDS, UNVERIFIABLE
 from veriledger.operators.reporting import AMOUNT_KINDS, ANOMALIES, BLIND, BLIND_NOTE, FIELD_ANOMALY, FOUND, HOLD_SUBTITLES, ICONS, KINDS, LONE, LONGEST, MATCH_VERDICTS, OVERCHARGED, SHORTENED, SIGNS, SUBTITLES, TITLES, TO_DO
+from veriledger.operators.rules import MESSAGES
 from veriledger.plans.queries import EXTRA_ORD, FIELD_ORD, HEAD_ORD, MISSING_ORD, MOST_ITEMS, RATES, RULES
 from veriledger.plans.views import with_views
 
@@ -100,28 +101,28 @@ ISSUES = f"""{TAX}, sums AS (SELECT doc_id, CAST(sum(total_k) AS BIGINT) AS s FR
 dd AS (SELECT d.*, coalesce(s, 0) AS lines_k, t.kind, t.normalized, t.valid FROM inv_docs d LEFT JOIN sums USING (doc_id) LEFT JOIN (SELECT DISTINCT tax_id, kind, normalized, valid FROM tax) t ON t.tax_id = d.tax_id),
 il AS (SELECT i.*, d.doc_type, qty * price_k - CASE WHEN d.doc_type = 'invoice' THEN disc_k ELSE 0 END AS want FROM inv_items i JOIN inv_docs d USING (doc_id)),
 issues AS (
-  SELECT doc_id, doc_type, 'required_field_missing' AS rule, {TYPE("invoice_number", "po_number", "receipt_number")} AS field, 'critical' AS severity, NULL::BIGINT AS expected_k, NULL::BIGINT AS actual_k FROM dd WHERE coalesce(number, '') = ''
-  UNION ALL SELECT doc_id, doc_type, 'required_field_missing', 'date', 'critical', NULL, NULL FROM dd WHERE coalesce(date_text, '') = ''
-  UNION ALL SELECT doc_id, doc_type, 'required_field_missing', {TYPE("vendor_name", "supplier_name", "store_name")}, 'critical', NULL, NULL FROM dd WHERE coalesce(party, '') = ''
-  UNION ALL SELECT doc_id, doc_type, 'required_field_missing', 'items', 'critical', NULL, NULL FROM dd WHERE n_items = 0
-  UNION ALL SELECT doc_id, doc_type, 'required_field_missing', 'total_amount', 'critical', NULL, NULL FROM dd WHERE amount_k IS NULL AND amount_text IS NULL
-  UNION ALL SELECT doc_id, doc_type, r, f, 'warning', NULL, NULL FROM (SELECT doc_id, doc_type, f, CASE WHEN NOT regexp_full_match(date_text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN 'date_format_invalid'
+  SELECT doc_id, doc_type, 'required_field_missing' AS rule, {TYPE("invoice_number", "po_number", "receipt_number")} AS field, 'critical' AS severity, NULL::BIGINT AS expected_k, NULL::BIGINT AS actual_k, NULL::VARCHAR AS detail FROM dd WHERE coalesce(number, '') = ''
+  UNION ALL SELECT doc_id, doc_type, 'required_field_missing', 'date', 'critical', NULL, NULL, NULL FROM dd WHERE coalesce(date_text, '') = ''
+  UNION ALL SELECT doc_id, doc_type, 'required_field_missing', {TYPE("vendor_name", "supplier_name", "store_name")}, 'critical', NULL, NULL, NULL FROM dd WHERE coalesce(party, '') = ''
+  UNION ALL SELECT doc_id, doc_type, 'required_field_missing', 'items', 'critical', NULL, NULL, NULL FROM dd WHERE n_items = 0
+  UNION ALL SELECT doc_id, doc_type, 'required_field_missing', 'total_amount', 'critical', NULL, NULL, NULL FROM dd WHERE amount_k IS NULL AND amount_text IS NULL
+  UNION ALL SELECT doc_id, doc_type, r, f, 'warning', NULL, NULL, date_text FROM (SELECT doc_id, doc_type, f, date_text, CASE WHEN NOT regexp_full_match(date_text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN 'date_format_invalid'
     WHEN try_strptime(date_text, '%Y-%m-%d') IS NULL THEN 'date_invalid' WHEN year(try_strptime(date_text, '%Y-%m-%d')) NOT BETWEEN 2000 AND 2030 THEN 'date_implausible' END AS r FROM (SELECT doc_id, doc_type, unnest(['date', 'due_date', 'delivery_date']) AS f, unnest([date_text, due_text, delivery_text]) AS date_text FROM dd) WHERE date_text IS NOT NULL) WHERE r IS NOT NULL
-  UNION ALL SELECT doc_id, doc_type, 'numeric_invalid', f, 'warning', NULL, NULL FROM (SELECT doc_id, doc_type, unnest(['tax_amount', 'total_amount', 'change_amount']) AS f, unnest([tax_text, amount_text, change_text]) AS v FROM dd) WHERE v IS NOT NULL
-  UNION ALL SELECT doc_id, doc_type, 'negative_amount', f, 'warning', NULL, v FROM (SELECT doc_id, doc_type, unnest(['subtotal', 'tax_amount', 'total_amount', 'change_amount']) AS f, unnest([sub_k, tax_k, amount_k, change_k]) AS v FROM dd) WHERE v < 0
-  UNION ALL SELECT doc_id, doc_type, 'item_total_mismatch', 'items[' || CAST(pos AS VARCHAR) || '].total', 'critical', want, total_k FROM il WHERE abs(want - total_k) > 2
-  UNION ALL SELECT doc_id, doc_type, 'negative_discount', 'items[' || CAST(pos AS VARCHAR) || '].discount', 'warning', NULL, disc_k FROM il WHERE doc_type = 'invoice' AND disc_k < 0
-  UNION ALL SELECT doc_id, doc_type, 'subtotal_mismatch', 'subtotal', 'critical', lines_k, sub_k FROM dd WHERE doc_type <> 'po' AND n_items > 0 AND abs(lines_k - sub_k) > 2
-  UNION ALL SELECT doc_id, doc_type, 'total_mismatch', 'total_amount', 'critical', sub_k + tax_k, amount_k FROM dd WHERE doc_type <> 'po' AND abs(sub_k + tax_k - amount_k) > 2
-  UNION ALL SELECT doc_id, doc_type, 'total_mismatch', 'total_amount', 'critical', lines_k, amount_k FROM dd WHERE doc_type = 'po' AND n_items > 0 AND abs(lines_k - amount_k) > 2
-  UNION ALL SELECT doc_id, doc_type, 'tax_rate_implausible', 'tax_amount', 'warning', NULL, NULL FROM dd WHERE sub_k > 0 AND tax_k <> 0 AND tax_k * 2 > sub_k
-  UNION ALL SELECT doc_id, doc_type, 'too_many_items', 'items', 'info', NULL, n_items FROM dd WHERE n_items > {MOST_ITEMS}
-  UNION ALL SELECT doc_id, doc_type, 'total_implausible', 'total_amount', 'warning', NULL, amount_k FROM dd WHERE amount_k > 1000000000
-  UNION ALL SELECT doc_id, doc_type, 'seller_tax_id_missing', 'vendor_tax_id', 'warning', NULL, NULL FROM dd WHERE doc_type = 'invoice' AND currency = 'TRY' AND coalesce(trim(tax_id), '') = ''
+  UNION ALL SELECT doc_id, doc_type, 'numeric_invalid', f, 'warning', NULL, NULL, trim(v) FROM (SELECT doc_id, doc_type, unnest(['tax_amount', 'total_amount', 'change_amount']) AS f, unnest([tax_text, amount_text, change_text]) AS v FROM dd) WHERE v IS NOT NULL
+  UNION ALL SELECT doc_id, doc_type, 'negative_amount', f, 'warning', NULL, v, NULL FROM (SELECT doc_id, doc_type, unnest(['subtotal', 'tax_amount', 'total_amount', 'change_amount']) AS f, unnest([sub_k, tax_k, amount_k, change_k]) AS v FROM dd) WHERE v < 0
+  UNION ALL SELECT doc_id, doc_type, 'item_total_mismatch', 'items[' || CAST(pos AS VARCHAR) || '].total', 'critical', want, total_k, NULL FROM il WHERE abs(want - total_k) > 2
+  UNION ALL SELECT doc_id, doc_type, 'negative_discount', 'items[' || CAST(pos AS VARCHAR) || '].discount', 'warning', NULL, disc_k, NULL FROM il WHERE doc_type = 'invoice' AND disc_k < 0
+  UNION ALL SELECT doc_id, doc_type, 'subtotal_mismatch', 'subtotal', 'critical', lines_k, sub_k, NULL FROM dd WHERE doc_type <> 'po' AND n_items > 0 AND abs(lines_k - sub_k) > 2
+  UNION ALL SELECT doc_id, doc_type, 'total_mismatch', 'total_amount', 'critical', sub_k + tax_k, amount_k, NULL FROM dd WHERE doc_type <> 'po' AND abs(sub_k + tax_k - amount_k) > 2
+  UNION ALL SELECT doc_id, doc_type, 'total_mismatch', 'total_amount', 'critical', lines_k, amount_k, NULL FROM dd WHERE doc_type = 'po' AND n_items > 0 AND abs(lines_k - amount_k) > 2
+  UNION ALL SELECT doc_id, doc_type, 'tax_rate_implausible', 'tax_amount', 'warning', NULL, NULL, NULL FROM dd WHERE sub_k > 0 AND tax_k <> 0 AND tax_k * 2 > sub_k
+  UNION ALL SELECT doc_id, doc_type, 'too_many_items', 'items', 'info', NULL, n_items, NULL FROM dd WHERE n_items > {MOST_ITEMS}
+  UNION ALL SELECT doc_id, doc_type, 'total_implausible', 'total_amount', 'warning', NULL, amount_k, NULL FROM dd WHERE amount_k > 1000000000
+  UNION ALL SELECT doc_id, doc_type, 'seller_tax_id_missing', 'vendor_tax_id', 'warning', NULL, NULL, NULL FROM dd WHERE doc_type = 'invoice' AND currency = 'TRY' AND coalesce(trim(tax_id), '') = ''
   UNION ALL SELECT doc_id, doc_type, CASE WHEN kind = 'label_captured' THEN 'tax_id_label_captured' WHEN valid IS NULL THEN 'tax_id_unverifiable' ELSE 'tax_id_checksum_invalid' END, {TYPE("vendor_tax_id", "supplier_tax_id", "store_tax_id")},
-    CASE WHEN kind = 'label_captured' THEN 'warning' WHEN valid IS NULL THEN 'info' ELSE 'critical' END, NULL, NULL FROM dd WHERE coalesce(trim(tax_id), '') <> '' AND valid IS DISTINCT FROM TRUE
+    CASE WHEN kind = 'label_captured' THEN 'warning' WHEN valid IS NULL THEN 'info' ELSE 'critical' END, NULL, NULL, CASE WHEN kind = 'label_captured' THEN normalized ELSE tax_id END FROM dd WHERE coalesce(trim(tax_id), '') <> '' AND valid IS DISTINCT FROM TRUE
   UNION ALL SELECT d.doc_id, d.doc_type, CASE WHEN t.kind = 'label_captured' THEN 'tax_id_label_captured' WHEN t.valid IS NULL THEN 'tax_id_unverifiable' ELSE 'tax_id_checksum_invalid' END, 'buyer_tax_id',
-    CASE WHEN t.kind = 'label_captured' THEN 'warning' WHEN t.valid IS NULL THEN 'info' ELSE 'critical' END, NULL, NULL FROM inv_docs d JOIN (SELECT DISTINCT tax_id, kind, valid FROM tax) t ON t.tax_id = d.buyer_tax_id WHERE trim(d.buyer_tax_id) <> '' AND t.valid IS DISTINCT FROM TRUE)"""
+    CASE WHEN t.kind = 'label_captured' THEN 'warning' WHEN t.valid IS NULL THEN 'info' ELSE 'critical' END, NULL, NULL, CASE WHEN t.kind = 'label_captured' THEN t.normalized ELSE d.buyer_tax_id END FROM inv_docs d JOIN (SELECT DISTINCT tax_id, kind, normalized, valid FROM tax) t ON t.tax_id = d.buyer_tax_id WHERE trim(d.buyer_tax_id) <> '' AND t.valid IS DISTINCT FROM TRUE)"""
 
 
 def put_issues(name: str, sql: str) -> None:
@@ -184,7 +185,9 @@ put("TR-05_gate", f"""WITH {ISSUES}, sent AS (SELECT doc_id, count(*) AS n_sent
   ch AS (SELECT doc_id, CASE WHEN doc_id % 12 = 0 THEN 'total_amount' ELSE 'notes' END AS path FROM inv_docs WHERE doc_id % 6 = 0),
   bad AS (SELECT doc_id, 'unrequested_correction: ' || path AS reason FROM ch WHERE NOT EXISTS (SELECT 1 FROM issues i WHERE i.doc_id = ch.doc_id AND i.field = ch.path)) SELECT sent.doc_id, n_sent, reason FROM sent LEFT JOIN bad ON sent.doc_id = bad.doc_id""", "inv_docs")
 put("TR-06_verdict", f"WITH {ISSUES} SELECT d.doc_id, CASE WHEN count(i.doc_id) > 0 THEN 'REVIEW' ELSE 'OK' END AS verdict, count(i.doc_id) AS n_reasons FROM inv_docs d LEFT JOIN (SELECT doc_id FROM issues WHERE severity = 'critical') i ON d.doc_id = i.doc_id GROUP BY d.doc_id", "inv_docs")
-put_issues("TR-07_issue_text", "SELECT doc_id, '- [' || upper(severity) || '] Field ''' || field || ''': ' || rule AS text FROM issues WHERE rule LIKE 'tax_id%'")
+_FIG = lambda c: f"printf('%.2f', {c} / 100.0)"
+_SAID = {k: v.replace("'", "''") for k, v in MESSAGES.items()}
+put_issues("TR-07_issue_text", f"SELECT doc_id, '- [' || upper(severity) || '] Field ''' || field || ''': ' || {case('rule', _SAID, 'rule')} || coalesce(': ' || coalesce(detail, 'expected ' || {_FIG('expected_k')} || ', found ' || {_FIG('actual_k')}), '') AS text FROM issues")
 _DAY = "CASE WHEN regexp_full_match(date_text, '[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}') THEN CAST(CAST(try_strptime(date_text, '%Y-%m-%d') AS DATE) AS VARCHAR) ELSE CAST(CAST(try_strptime(date_text, '%d.%m.%Y') AS DATE) AS VARCHAR) END"
 CANON = f"""canon AS (SELECT doc_id, nullif(number, '') AS doc_number, nullif(party, '') AS supplier_name, nullif(tax_id, '') AS supplier_tax_id, {_DAY} AS issue_date, coalesce(nullif(currency, ''), 'TRY') AS currency, 'email_pdf' AS channel FROM inv_docs),
 efat AS (SELECT doc_id, coalesce(nullif(number, ''), 'alt') AS doc_number, party AS supplier_name, tax_id AS supplier_tax_id, {_DAY} AS issue_date, coalesce(nullif(currency, ''), 'TRY') AS currency, 'efatura' AS channel, 'ettn-' || doc_id AS source_ref FROM inv_docs)"""

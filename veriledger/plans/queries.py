@@ -330,7 +330,7 @@ def _(s, d):
 
 @query("TR-07_issue_text")
 def _(s, d):
-    return found(s, d).where("rule like 'tax_id%'").select("doc_id", repair.issue_text(F.col("severity"), F.col("field"), F.col("rule")).alias("text"))
+    return found(s, d).select("doc_id", repair.issue_text(F.col("severity"), F.col("field"), rules.issue_message()).alias("text"))
 
 
 def _canonical(s, d):
