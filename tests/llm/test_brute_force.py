@@ -65,6 +65,25 @@ def test_lines_recall(spark):
     assert all(root[i] == root[j] for i, j in itertools.combinations(got, 2) if got[i] == got[j])
 
 
+def test_lines_on_both_sides_of_a_border_meet(spark):
+    """Lines of many shingles are signed by another method than lines of few; repeats aren't counted."""
+    rng = random.Random(1)
+    letters, pairs = "abcdefghij klmnop", []
+    for length, more in ((150, 15), (160, 6), (160, 12), (165, 3), (140, 28)):
+        for _ in range(8):
+            a = "q" + "".join(rng.choices(letters, k=length)) + "q"
+            pairs.append((a, a + "".join(rng.choices("xyzuvw", k=more))))
+    for _ in range(8):
+        a = "q" + "".join(rng.choices(letters, k=60)) + "q"
+        pairs.append((a + a, a * 6))
+    a = "abcdefghi" * 20
+    pairs.append((a[:40], a * (17 * linededup.CHUNK // len(a))))  # a very long line of nine shingles
+    assert all(linededup.jaccard(*p) >= 0.82 for p in pairs)
+    docs = spark.createDataFrame([(2 * i + j, x) for i, p in enumerate(pairs) for j, x in enumerate(p)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in linededup.dedup_lines(docs).collect()}
+    assert [i for i in range(len(pairs)) if got[2 * i] != got[2 * i + 1]] == []
+
+
 @pytest.mark.parametrize("members,characters", [(4, 1 << 22), (4, 400), (1 << 12, 300)])
 def test_large_buckets_lose_no_pair(spark, monkeypatch, members, characters):
     """The same components whichever way a bucket is compared."""

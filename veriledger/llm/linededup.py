@@ -2,7 +2,8 @@
 
 Every distinct line of a task is cut into character shingles, and one-permutation MinHash (each
 shingle hash goes to one of BANDS * ROWS bins, a bin keeps its least, empty bins borrow from the
-next) gives its signature, for a line too short to fill the bins as many hash functions do;
+next) gives its signature, for a line with too few different shingles to fill the bins as many hash
+functions do, and lines near that border have both;
 BANDS keys of ROWS values each make two lines of Jaccard similarity 0.8
 meet in some bucket with a chance of 99.8 %. Rows carry 64-bit line hashes, never lines.
 
@@ -32,7 +33,7 @@ from veriledger.llm.components import connected_components
 SHINGLE, BANDS, ROWS, SIMILARITY = 7, 16, 5, 0.8
 BINS = BANDS * ROWS
 SPACE = "\t\n\x0b\x0c\r "
-#: Shingles from which a line fills nearly all bins.
+#: Different shingles from which a line fills nearly all bins.
 FULL = 2 * BINS
 #: Characters worked on at once.
 CHUNK = 1 << 16
@@ -71,23 +72,55 @@ def codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return code[inside], size - SHINGLE + 1
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """A row of BINS minima for each line; lines have at least SHINGLE characters."""
-    if len(lines) == 1 and len(lines[0]) > 16 * CHUNK:  # a very long line, in pieces that overlap
-        step = 8 * CHUNK
-        pieces = [lines[0][i : i + step + SHINGLE - 1] for i in range(0, len(lines[0]) - SHINGLE + 1, step)]
-        return _borrowed(np.min([_least(*codes([p])) for p in pieces], axis=0))
-    code, n = codes(lines)
-    short = n < FULL
-    if short.all():
-        return _many_hashes(code, n)
-    if not short.any():
-        return _one_hash(code, n)
-    mine, out = np.repeat(short, n), np.empty((len(lines), BINS), np.int64)
-    out[short], out[~short] = _many_hashes(code[mine], n[short]), _one_hash(code[~mine], n[~short])
+def distinct(code: np.ndarray, n: np.ndarray, least: int) -> np.ndarray:
+    """How many different shingles each line has; of a line with less than `least` in all, all."""
+    out, mine = n.copy(), np.repeat(n >= least, n)
+    if mine.any():
+        size = n[n >= least]
+        bits = int(len(size)).bit_length()
+        both = code[mine] >> np.uint64(bits) | np.repeat(np.arange(len(size), dtype=np.uint64) << np.uint64(64 - bits), size)
+        both.sort()  # line after line, since a line's number is in the high bits
+        out[n >= least] = np.add.reduceat(np.concatenate([[True], both[1:] != both[:-1]]), np.cumsum(size) - size, dtype=np.int64)
     return out
 
 
+def _pieces(line: str) -> Iterator[np.ndarray]:
+    """The hashes of a very long line's shingles, in pieces that overlap."""
+    step = 8 * CHUNK
+    for i in range(0, len(line) - SHINGLE + 1, step):
+        yield codes([line[i : i + step + SHINGLE - 1]])[0]
+
+
+def signed(lines: list[str], least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """(places in lines, a row of BINS minima for each): lines of FULL different shingles or more are
+    signed by one hash function, those of fewer by many, and those of which a line that is similar by
+    `least` may have FULL or more by both, since two lines meet only if they are signed alike."""
+    floor = max(1, int(np.ceil(least * FULL - 1e-9)))
+    if len(lines) == 1 and len(lines[0]) > 16 * CHUNK:
+        found = np.zeros(0, np.uint64)
+        for code in _pieces(lines[0]):
+            if len(found := np.union1d(found, code)) >= FULL:
+                return np.zeros(1, np.int64), _borrowed(np.min([_least(c, np.array([len(c)])) for c in _pieces(lines[0])], axis=0))
+        code, n = found, np.array([len(found)])
+        d = n
+    else:
+        code, n = codes(lines)
+        d = distinct(code, n, floor)
+    which, out = [], []
+    for mine, sign in ((d < FULL, _many_hashes), (d >= floor, _one_hash)):
+        if mine.any():
+            which.append(np.flatnonzero(mine))
+            out.append(sign(code if mine.all() else code[np.repeat(mine, n)], n[mine]))
+    return np.concatenate(which), np.concatenate(out)
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """A row of BINS minima for each line, its first of signed(); lines have at least SHINGLE characters."""
+    which, rows = signed(lines)
+    place, first = np.unique(which, return_index=True)
+    return rows[first]
+
+
 def _many_hashes(code: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Least value of each line's shingles (n of them a line) under BINS hash functions."""
     first, out = np.cumsum(n) - n, np.empty((len(n), BINS), np.int64)
@@ -134,16 +167,20 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key
 
 
-def buckets(docs: DataFrame) -> DataFrame:
+def buckets(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """key, h: members of buckets with two different lines or more, stored."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # the last lines of this task; others may repeat
-        lines, hashes, size, keys = [], [], 0, []
+        lines, hashes, size, keys, owners, n = [], [], 0, [], [], 0
+
+        def sign_lines() -> None:
+            which, rows = signed(lines, least)
+            keys.append(band_keys(rows))
+            owners.append(np.array(hashes, np.uint64)[which])
 
         def out() -> pa.RecordBatch:
-            key = np.concatenate(keys)
-            h = np.repeat(np.array(hashes, np.uint64), BANDS)
+            key, h = np.concatenate(keys), np.repeat(np.concatenate(owners), BANDS)
             return pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(h.view(np.int64))], ["key", "h"])
 
         for batch in batches:
@@ -158,18 +195,19 @@ def buckets(docs: DataFrame) -> DataFrame:
                     if len(seen) >= 1 << 20:
                         seen.clear()
                     seen.add(h)
-                    hashes.append(h)
                     if lines and size + len(line) > CHUNK:
-                        keys.append(band_keys(signatures(lines)))
-                        lines, size = [], 0
+                        sign_lines()
+                        lines, hashes, size = [], [], 0
                     lines.append(line)
+                    hashes.append(h)
                     size += len(line)
-                    if len(hashes) >= 1024:
-                        keys.append(band_keys(signatures(lines)))
+                    n += 1
+                    if n >= 1024:
+                        sign_lines()
                         yield out()
-                        lines, hashes, size, keys = [], [], 0, []
-        if hashes:
-            keys.append(band_keys(signatures(lines)))
+                        lines, hashes, size, keys, owners, n = [], [], 0, [], [], 0
+        if n:
+            sign_lines()
             yield out()
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,8 +228,8 @@ def buckets(docs: DataFrame) -> DataFrame:
             if (many := several[group]).any():
                 yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(h[many])], ["key", "h"])
 
-    signed = docs.select("text").mapInArrow(sign, "key long, h long")
-    return store(signed.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "key long, h long"), "line-buckets")
+    every = docs.select("text").mapInArrow(sign, "key long, h long")
+    return store(every.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "key long, h long"), "line-buckets")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -371,7 +409,7 @@ def candidate_links(met: DataFrame, texts: DataFrame, least: float) -> DataFrame
 
 def line_components(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """node, root: hashes of lines that are linked to another line, and the least hash they reach."""
-    met = buckets(docs)
+    met = buckets(docs, least)
     ids = store(met.select("h").distinct(), "line-ids")
     texts = store(lines_of(docs).join(bounded_broadcast(ids, IDS), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")), "line-texts")
     links = candidate_links(met, texts, least)
