@@ -39,8 +39,9 @@ FULL = 2 * BINS
 CHUNK = 1 << 16
 #: Lines and characters of a bucket that one task compares.
 MEMBERS, CHARACTERS = 4096, 1 << 22
-#: Most line hashes (8 bytes each, 16 MB in all) that are broadcast; more are joined by a shuffle.
-IDS = 2_000_000
+#: Most line hashes that are broadcast (some 75 bytes each in the driver, 30 MB in all); more are
+#: joined by a shuffle.
+IDS = 400_000
 
 
 def shingles(line: str) -> set[str]:
