@@ -462,3 +462,11 @@ def test_held_out_languages(spark):
     out = langid.identify(docs).where("held_out and lang_pred <> 'und'").join(docs.select("doc_id", "lang"), "doc_id")
     r = out.agg(F.count("*").alias("n"), F.count_if(F.col("lang") == F.col("lang_pred")).alias("right")).first()
     assert r["right"] >= 0.98 * r["n"] > 100
+
+
+def test_all_training_rows_teach_the_mixer(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"some words of text {i} and {i * i}") for i in range(40)], "doc_id long, text string")
+    told, taught = [], mixlm.taught
+    monkeypatch.setattr(mixlm, "taught", lambda texts, model: told.append(texts.count()) or taught(texts, model))
+    rows = mixlm.score(docs).collect()
+    assert told == [sum(not r["held_out"] for r in rows)] and len(rows) == 40

@@ -8,7 +8,7 @@ borders, the beginning of the token, and that with the token before - in counts
 rows, and one more predictor counts what the text itself has had after such a beginning. Their
 stretched probabilities are added with weights that a gate picks by how often the two longest
 contexts were seen; a final stage maps the sum to a probability. Weights and final stage start from
-what they learn online over training rows, whose own occurrence is left out of the counts; while a
+what they learn online over all training rows, whose own occurrence is left out of the counts; while a
 text is read its weights move down the coding cost's gradient, and its own counters count, after
 every piece of it (256 bytes, later pieces are longer). All bits' costs add up to the score.
 
@@ -46,8 +46,6 @@ BEGUN, AFTER = 2, 3
 TOGETHER = ((0, 1), (BEGUN, AFTER))
 #: Slots of the tables that are merged and sent on their own; training text for each counting task.
 PART, COUNTED = 1 << 17, 64 << 20
-#: One training row in so many, by hash, teaches the mixer.
-TEACH = 32
 PRIOR, SEEN = 0.03, (0.5, 2.5, 15.5)
 #: Nodes of a tree with its escape; pairs of bytes with less than this share of all have no tree of
 #: their own.
@@ -627,9 +625,8 @@ def score(docs: DataFrame) -> DataFrame:
     total, types = int(sums["n"] or 0), int(sums["v"] or 0)
     code, bits = byte_code(blocks), slot_bits(size)
     model = Model(bits, code, *tables(learned, code, bits, max(6, -(-size // COUNTED))))
-    own = F.pmod(F.xxhash64(F.lit("teach"), "doc_id"), F.lit(TEACH)) == 0
     shared = spark.sparkContext.broadcast(model)
-    if start := taught(learned.where(own), shared):
+    if start := taught(learned, shared):
         weights = spark.sparkContext.broadcast(start)
     else:
         weights = spark.sparkContext.broadcast((model.w, model.final))
