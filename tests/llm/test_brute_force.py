@@ -337,6 +337,29 @@ def test_probabilities_of_the_next_byte_sum_to_one():
         assert sum(2 ** (price(bytes([b])) - before) for b in range(256)) == pytest.approx(1, abs=1e-3)
 
 
+def test_left_out_counts_are_exact():
+    rng = np.random.default_rng(5)
+    n = rng.integers(0, 40, (300, 2)) * (rng.random((300, 2)) < 0.7)
+    n[:4] = [(0, 0), (1, 0), (0, 1), (3000, 1)]
+
+    def plain(n0, n1):
+        x = np.clip(np.log((n1 + mixlm.PRIOR) / (n0 + mixlm.PRIOR)), -12, 12) * 2048
+        return x, sum(n0 + n1 > s for s in (0.5, 2.5, 15.5))
+
+    less, s = mixlm.Model.quantise(*n.T.astype(float))
+    for (n0, n1), both, one in zip(n.tolist(), less.reshape(-1, 2).tolist(), s.tolist(), strict=True):
+        for got, (x, seen) in ((one, plain(n0, n1)), (both[0], plain(max(n0 - 1, 0), n1)), (both[1], plain(n0, max(n1 - 1, 0)))):
+            assert got & 3 == seen and abs((got & ~3) - x) <= 4
+
+
+def test_sums_of_two_columns():
+    rng = np.random.default_rng(6)
+    at, x, y, by = rng.integers(0, 7, 500), *rng.normal(size=(3, 500)).astype(np.float32)
+    for first, second in ((x, y), (x, 1.0), (0.0, y)):
+        for got, v in zip(mixlm.added(at, 7, first, second, by), (first, second), strict=True):
+            assert got == pytest.approx(np.bincount(at, v * by, 7), abs=1e-3)
+
+
 def test_scores_adapt_and_read_across_tokens():
     rng = random.Random(2)
     texts = [" ".join(rng.choices([f"w{i}" for i in range(50)], k=100)).encode() for _ in range(30)] + [b"the cat sat on the mat " * 4 + b"end"]

@@ -7,7 +7,7 @@ look up hashed contexts that run over the whole text - the last 2 and 4 bytes, a
 borders, the beginning of the token, and that with the token before - in counts of the training
 rows, and one more predictor counts what the text itself has had after such a beginning. Their
 stretched probabilities are added with weights that a gate picks by how often the two longest
-contexts were seen; a final stage maps the sum to a probability. Weights and final stage start from
+contexts were seen; a final stage maps the sum to a probability (in scoring, by steps of 1/32). Weights and final stage start from
 what they learn online over all training rows, whose own occurrence is left out of the counts; while a
 text is read its weights move down the coding cost's gradient, and its own counters count, after
 every piece of it (256 bytes, later pieces are longer). All bits' costs add up to the score.
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -51,6 +52,7 @@ PRIOR, SEEN = 0.03, (0.5, 2.5, 15.5)
 #: their own.
 NODES, RARE = 512, 2**-14
 N_INPUTS, GATES, STEPS = N_CONTEXTS + 2, 32, 49  # contexts, own history, bias
+ROOM = 8  # numbers that a cell's weights take
 #: Bytes of text worked on at once, and brought together when they are counted; bits of a symbol.
 CHUNK, SORTED, SYMBOL_BITS = 1 << 15, 2 << 20, 32
 #: Ends of a text's pieces, then every PIECE bytes.
@@ -153,14 +155,15 @@ class Code:
             here = slice(*np.searchsorted(pair, [p, p + 1]))
             self.tree[p] = add(keys[here] & 255, often[here])
         self.depth, self.first = (np.concatenate(x) for x in (depths, firsts))
-        self.both = np.concatenate(flat).astype(np.int64)
+        self.both = np.concatenate(flat)
 
     def symbols(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """tree * 256 + byte of each byte; a text begins as after a space."""
         return self.tree.take(before(data, starts)) * 256 + data
 
-    def decisions(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place of its byte, 2 * node + bit) of all decisions."""
+    def decisions(self, symbols: np.ndarray, groups: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """(place of its byte, 2 * node + bit) of all decisions; where the decisions of groups of bytes
+        end, if it is given where their bytes end."""
         d = self.depth.take(symbols)
         ends = np.cumsum(d)
         of = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
@@ -168,7 +171,8 @@ class Code:
         np.cumsum(of, out=of)
         at = (self.first.take(symbols) - ends + d).take(of)
         at += np.arange(len(of))
-        return of, self.both.take(at)
+        both = self.both.take(at).astype(np.int64)
+        return (of, both) if groups is None else (of, both, ends[groups - 1])
 
 
 def before(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -187,6 +191,27 @@ def stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(whole), np.uint8), np.cumsum(size) - size
 
 
+def earlier(of: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """What stands k bytes before; 0 for the first k bytes of a text, whatever texts lie there."""
+    out = np.zeros_like(of)
+    out[k:] = of[:-k]
+    for j in range(k):
+        out[(starts + j)[starts + j < len(of)]] = 0
+    return out
+
+
+def added(at: np.ndarray, cells: int, first: np.ndarray | float, second: np.ndarray | float, by: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of two columns, times `by`, in each cell: both at once, as a complex number."""
+    two, out = np.empty(len(at), np.complex64), np.zeros(cells, np.complex64)
+    for v, part in ((first, two.real), (second, two.imag)):
+        if by is None or np.isscalar(v):
+            part[:] = v if by is None else v * by
+        else:
+            np.multiply(v, by, out=part)
+    np.add.at(out, at, two)
+    return out.real, out.imag
+
+
 def contexts(data: np.ndarray, starts: np.ndarray, bits: tuple[int, ...], which: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
     """(for each of these contexts the slot of a byte's node 0 in its table - node n has that number
     xor n, so that nodes near the root lie in one line of the cache -; whether a byte begins a token).
@@ -197,16 +222,15 @@ def contexts(data: np.ndarray, starts: np.ndarray, bits: tuple[int, ...], which:
     begins[starts] = True
     wide, found = data.astype(np.uint64) + np.uint64(1), {}
     if min(which) < len(ORDERS):
-        last = np.zeros(n, np.uint64)
-        for k in range(1, max(ORDERS) + 1):
-            before = np.zeros(n, np.uint64)
-            before[k:] = wide[:-k]
-            for j in range(k):  # nothing before a text
-                before[np.minimum(starts + j, n - 1)] *= (starts + j >= n).astype(np.uint64)
-            before <<= np.uint64(9 * (k - 1))
-            last |= before
-            if k in ORDERS and ORDERS.index(k) in which:
-                found[ORDERS.index(k)] = last.copy()
+        last, have = earlier(wide, starts, 1), 1
+        for i, k in enumerate(ORDERS):  # each has twice the bytes of the one before
+            while have < k:
+                more = earlier(last, starts, have)
+                more <<= np.uint64(9 * have)
+                more |= last
+                last, have = more, 2 * have
+            if i in which:
+                found[i] = last.copy()
     if max(which) >= BEGUN:  # beginnings of tokens: a polynomial hash, as a running sum
         first = np.flatnonzero(begins)
         size = np.diff(np.append(first, n))
@@ -280,127 +304,152 @@ def _add(keys: np.ndarray, n: int, code: Code, table: np.ndarray) -> None:
 
 
 SCALE = np.float32(1 / 2048)
+#: Steps of a sum of stretched probabilities, up to 12 either way, for which costs and errors are kept.
+FINE, SUMS = 32, 2 * 12 * 32
+#: The coding error, bit less its probability, at 2 * step + bit.
+ERROR = (np.arange(2) - 1 / (1 + np.exp(12 - (np.arange(SUMS)[:, None] + 0.5) / FINE))).astype(np.float32).ravel()
 
 
 class Model:
-    """Counts by slot, quantised (n by its logarithm, the stretched probability in 16 bits), the
-    byte code, mixer weights and final stage."""
+    """Predictions by slot (see quantise), byte code, mixer weights and final stage. Teaching reads
+    `less`, scoring reads `s`; the other one may be absent."""
 
-    def __init__(self, bits: tuple[int, ...], code: Code, n: list[np.ndarray], s: list[np.ndarray]):
-        self.bits, self.code, self.n, self.s = bits, code, n, s
+    def __init__(self, bits: tuple[int, ...], code: Code, less: list[np.ndarray], s: list[np.ndarray]):
+        self.bits, self.code, self.less, self.s = bits, code, less, s
         self.w = np.zeros((N_INPUTS, GATES), np.float32)
         self.w[:N_CONTEXTS] = 0.3
         self.final = np.tile(np.linspace(-12, 12, STEPS, dtype=np.float32), GATES)
-        self.amount = np.exp2(np.arange(256, dtype=np.float32) / 8) - 1
 
     def __setstate__(self, state: dict) -> None:
         """NumPy's own memory has large pages, a pickle's bytes don't."""
         self.__dict__.update(state)
-        for k in range(len(self.s)):
-            self.s[k] = self.s[k].copy()
+        self.less, self.s = ([a.copy() for a in x] for x in (self.less, self.s))
 
     @staticmethod
     def quantise(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(n, s): how often a slot was seen, by its logarithm; 2048 times the stretched probability,
-        its last two bits for how often: never, once or twice, up to 15 times, more."""
-        total = n0 + n1
-        s = np.rint(np.clip(np.log((n1 + PRIOR) / (n0 + PRIOR)), -12, 12) / SCALE).astype(np.int16)
-        return np.minimum(np.rint(np.log2(1 + total) * 8), 255).astype(np.uint8), s & ~np.int16(3) | np.digitize(total, SEEN).astype(np.int16)
-
-    def inputs(self, k: int, at: np.ndarray, less: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
-        """(stretched predictions of context k, in 2048ths, class of how often it was seen, for those
-        that pick weights); less: bits to leave out of the counts once."""
-        s = self.s[k].take(at)
-        if less is None:
-            return s.astype(np.float32), s & np.int16(3) if k >= BEGUN else None
-        n = self.amount.take(self.n[k].take(at))
-        n1 = (n + 2 * PRIOR) / (1 + np.exp(-s * SCALE)) - PRIOR
-        n1, n = np.maximum(n1 - less, 0), np.maximum(n - 1, 0)
-        x = np.log((n1 + PRIOR) / (np.maximum(n - n1, 0) + PRIOR))
-        x[n < 0.5] = 0
-        return (x / SCALE).astype(np.float32), np.digitize(n, SEEN)
+        """(less, s). s: 2048 times the stretched probability of each slot, its last two bits for how
+        often the slot was seen: never, once or twice, up to 15 times, more. less: the same at
+        2 * slot + bit, with one such bit fewer."""
+        seen = np.flatnonzero(n0 + n1)
+        n0, n1, size = n0[seen], n1[seen], len(n0)
+
+        def stretched(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+            s = np.rint(np.clip(np.log((n1 + PRIOR) / (n0 + PRIOR)), -12, 12) / SCALE).astype(np.int16)
+            return s & ~np.int16(3) | sum((n0 + n1 > x).astype(np.int16) for x in SEEN)
+
+        less, s = np.zeros((size, 2), np.int16), np.zeros(size, np.int16)
+        less[seen, 0], less[seen, 1] = stretched(np.maximum(n0 - 1, 0), n1), stretched(n0, np.maximum(n1 - 1, 0))
+        s[seen] = stretched(n0, n1)
+        return less.ravel(), s
+
+    def prices(self) -> np.ndarray:
+        """Cost of a bit, by the final stage, at (gate * SUMS + step of the sum) * 2 + bit."""
+        at = (np.arange(SUMS) + 0.5) * ((STEPS - 1) / SUMS)
+        y = np.stack([np.interp(at, np.arange(STEPS), f) for f in self.final.reshape(GATES, STEPS)])
+        return np.logaddexp(0, np.stack([y, -y], -1)).astype(np.float32).ravel()
 
     def costs(self, texts: list[bytes], teach: bool = False) -> np.ndarray:
-        """log2 of the probability of each text. teach: learn the start of weights and final stage
-        from texts that are among those counted, leaving each decision out once."""
+        """log2 of the probability of each text. teach: in place of that, learn the start of weights
+        and final stage from texts that are among those counted, leaving each decision out once."""
         out = np.zeros(len(texts))
         order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
-        at = 0
+        at, prices = 0, None if teach else self.prices()
         for some in pieces([texts[i] for i in order]):
-            out[order[at : at + len(some)]] = self._some(some, teach)
+            out[order[at : at + len(some)]] = self._some(some, teach, prices)
             at += len(some)
         return out
 
-    def _some(self, texts: list[bytes], teach: bool) -> np.ndarray:
+    def _some(self, texts: list[bytes], teach: bool, prices: np.ndarray | None = None) -> np.ndarray:
+        if prices is None and not teach:
+            prices = self.prices()
         data, starts = stream(texts)
         lanes, size = len(starts), np.diff(np.append(starts, len(data)))
         base, begins = contexts(data, starts, self.bits, tuple(range(N_CONTEXTS)))
         # the own counters of each text: 4 slots a byte
         room = 4 * size + NODES
         base[-1] = ((base[-1] >> np.uint64(32)) * np.repeat(room - NODES, size).astype(np.uint64) >> np.uint64(32)).astype(np.int64) + np.repeat(np.cumsum(room) - room, size)
-        own = np.zeros(2 * int(room.sum()), np.float32)
-        lane = np.repeat(np.arange(lanes), size)
+        own = np.full(int(room.sum()), 0.4 + 0.4j, np.complex64)  # of 0, of 1: taken at once
+        counts = own.view(np.float32)
+        table = self.less if teach else self.s
+        for b in base if teach else base[-1:]:
+            b <<= 1
         cells = GATES if teach else lanes * GATES
-        group = begins + (0 if teach else lane * GATES)
-        # bytes by piece, in each piece text after text
-        pos = np.arange(len(data)) - np.repeat(starts, size)
-        piece = np.where(pos < ENDS[-1], np.searchsorted(ENDS, pos, "right"), len(ENDS) + (pos - ENDS[-1]) // PIECE)
-        by = np.argsort(piece, kind="stable")
-        symbols = self.code.symbols(data, starts)[by]
-        lane, group, base = lane[by], group[by], [b[by] for b in base]
-        edge = np.searchsorted(piece[by], np.arange(int(piece.max()) + 2))
-        w = self.w if teach else np.repeat(self.w[:, None], lanes, 1).reshape(N_INPUTS, cells)
+        group, symbols = begins.astype(np.int64), self.code.symbols(data, starts)
+        if not teach:
+            group += np.repeat(np.arange(0, cells, GATES), size)
+        # predictions are added as 2048ths, their weights are scaled instead; a cell's weights lie together
+        scale = np.array([SCALE] * N_CONTEXTS + [1, 1], np.float32)
+        w = np.zeros((cells // GATES, GATES, ROOM), np.float32)
+        w[:, :, :N_INPUTS] = (self.w * scale[:, None]).T
+        w = w.reshape(cells, ROOM)
+        rows = w.view(f"V{4 * ROOM}").ravel()
         total = np.zeros(lanes)
-        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-            of, both = self.code.decisions(symbols[lo:hi])
-            node, bit = both >> 1, (both & 1).astype(np.float32)
-            of += lo
-            cell, x = group.take(of), []
+        done, end = 0, 0
+        while end < (longest := int(size.max())):  # all texts' pieces of the same place
+            done, end = end, min(ENDS[bisect_right(ENDS, end)] if end < ENDS[-1] else end + PIECE, longest)
+            here = np.flatnonzero(size > done)
+            n = np.minimum(size[here], end) - done
+            ends = np.cumsum(n)
+            by = np.arange(int(ends[-1]))
+            by += np.repeat(starts[here] + done - ends + n, n)
+            of, both, ends = self.code.decisions(symbols.take(by), ends)
+            of = by.take(of)
+            node, bit, x, gate = None if teach else both >> 1, both & 1, [], 0
             for k in range(N_CONTEXTS):
                 at = base[k].take(of)
-                at ^= node
-                v, seen = self.inputs(k, at, bit if teach else None)
-                v *= SCALE
-                x.append(v)
+                at ^= both if teach else node
+                s = table[k].take(at)
+                x.append(s.astype(np.float32))
                 if k >= BEGUN:
-                    cell += seen * (2 if k == BEGUN else 8)
+                    s &= 3
+                    s <<= 1 if k == BEGUN else 3
+                    gate = gate + s
+            cell = group.take(of)
+            cell += gate
             mine = base[-1].take(of)
-            mine += node
-            mine *= 2
-            if lo:  # a text's first piece has nothing before it
-                x.append(np.log((own.take(mine + 1) + np.float32(0.4)) / (own.take(mine) + np.float32(0.4))))
-            z = w[-1].take(cell)
+            mine += both
+            if done:  # a text's first piece has nothing before it
+                had = own.take(mine >> 1)
+                x.append(np.log(had.imag / had.real))
+            own_w = rows.take(cell).view(np.float32).reshape(-1, ROOM)
+            z = own_w[:, N_INPUTS - 1].copy()
             for k, v in enumerate(x):
-                part = w[k].take(cell)
-                part *= v
-                z += part
-            np.clip(z, -11.9, 11.9, out=z)
-            f = z * 2
-            f += 24
-            low = f.astype(np.int64)
-            f -= low
-            low += (cell & (GATES - 1)) * STEPS
-            y = self.final.take(low)
-            y += (self.final.take(low + 1) - y) * f
-            sign = bit * -2
-            sign += 1
-            sign *= y
-            cost = np.log1p(np.exp(-np.abs(sign)))
-            cost += np.maximum(sign, 0)
-            first = np.flatnonzero(np.diff(lane[lo:hi], prepend=-1))  # bytes, then decisions
-            total[lane[lo:hi][first]] += np.add.reduceat(cost, np.searchsorted(of, first + lo), dtype=np.float64)
+                z += own_w[:, k] * v
+            np.minimum(np.maximum(z, np.float32(-11.9), out=z), np.float32(11.9), out=z)
             if teach:
-                off = np.bincount(low + (f > 0.5), bit - 1 / (1 + np.exp(-y)), GATES * STEPS)
-                self.final += (off / (np.bincount(low + (f > 0.5), minlength=GATES * STEPS) + CALM)).astype(np.float32)
-            elif hi == len(data):
-                break  # no text goes on
-            error = bit - 1 / (1 + np.exp(-z))
-            step = RATE / (np.bincount(cell, minlength=cells) + CALM)
-            for k, v in enumerate(x):
-                w[k] += step * np.bincount(cell, error * v, cells)
-            w[-1] += step * np.bincount(cell, error, cells)
-            mine += both & 1
-            np.add.at(own, mine, np.float32(1))
+                f = z * 2
+                f += 24
+                low = f.astype(np.int64)
+                f -= low
+                cell_at = cell * STEPS
+                cell_at += low
+                y = self.final.take(cell_at)
+                y += (self.final.take(cell_at + 1) - y) * f
+                cell_at += f > 0.5
+                bit = bit.astype(np.float32)
+                off, n = added(cell_at, GATES * STEPS, bit - 1 / (1 + np.exp(-y)), 1.0)
+                self.final += off / (n + np.float32(CALM))
+                error = bit - 1 / (1 + np.exp(-z))
+            else:
+                z += 12
+                z *= FINE
+                step = z.astype(np.int64)
+                step *= 2
+                step += bit
+                error = ERROR.take(step)
+                step += (cell & (GATES - 1)) * (2 * SUMS)
+                total[here] += np.add.reduceat(prices.take(step), np.concatenate([[0], ends[:-1]]), dtype=np.float64)
+                if end == longest:
+                    break
+            x += [0.0] * (N_CONTEXTS + 1 - len(x)) + [1.0]
+            calm = RATE / (np.bincount(cell, minlength=cells) + CALM)
+            for k in range(0, N_INPUTS, 2):
+                for j, off in enumerate(added(cell, cells, x[k], x[k + 1], error), k):
+                    w[:, j] += calm * float(scale[j]) ** 2 * off
+            if end < longest:
+                np.add.at(counts, mine, np.float32(1))
+        if teach:
+            self.w = w[:, :N_INPUTS].T / scale[:, None]
         return total / -np.log(2)
 
 
@@ -511,10 +560,9 @@ def byte_code(blocks: DataFrame) -> Code:
     return Code(found.column("key").to_numpy(), found.column("n").to_numpy())
 
 
-def tables(texts: DataFrame, code: Code, bits: tuple[int, ...], tasks: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Quantised counts of all slots over all training texts (a): each task counts its texts, one
-    context after the other, parts of the tables are merged apart, and only the tables, of bounded
-    size, reach the driver."""
+def tables(texts: DataFrame, code: Code, bits: tuple[int, ...], tasks: int) -> DataFrame:
+    """part, less, s: quantised counts of all slots over all training texts (a), stored: each task
+    counts its texts, one context after the other, parts of the tables are merged apart."""
     parts = [-(-(1 << b) // PART) for b in bits]
     first = np.cumsum([0, *parts])
 
@@ -533,8 +581,8 @@ def tables(texts: DataFrame, code: Code, bits: tuple[int, ...], tasks: int) -> t
         current, total = None, None
 
         def out() -> pa.RecordBatch:
-            n, s = Model.quantise(*total.reshape(-1, 2).T.astype(np.float64))
-            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([pack(n)], pa.binary()), pa.array([pack(s)], pa.binary())], ["part", "n", "s"])
+            less, s = Model.quantise(*total.reshape(-1, 2).T.astype(np.float64))
+            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([pack(less)], pa.binary()), pa.array([pack(s)], pa.binary())], ["part", "less", "s"])
 
         for batch in batches:
             for part, b in zip(batch.column("part").to_pylist(), batch.column("n"), strict=True):
@@ -547,14 +595,19 @@ def tables(texts: DataFrame, code: Code, bits: tuple[int, ...], tasks: int) -> t
             yield out()
 
     partial = texts.select("a").repartition(tasks).mapInArrow(counted, "part int, n binary")
-    merged = store(partial.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "part int, n binary, s binary"), "lm-tables")
-    n, s = ([np.zeros(PART * p, kind) for p in parts] for kind in (np.uint8, np.int16))
-    for r in merged.toLocalIterator():
+    return store(partial.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "part int, less binary, s binary"), "lm-tables")
+
+
+def table(merged: DataFrame, bits: tuple[int, ...], name: str) -> list[np.ndarray]:
+    """One column of tables(), less or s, as an array for each context; of bounded size."""
+    parts, wide = [-(-(1 << b) // PART) for b in bits], PART * (2 if name == "less" else 1)
+    first = np.cumsum([0, *parts])
+    out = [np.zeros(wide * p, np.int16) for p in parts]
+    for r in merged.select("part", name).toLocalIterator():
         k = int(np.searchsorted(first, r["part"], "right")) - 1
-        lo = (r["part"] - first[k]) * PART
-        n[k][lo : lo + PART], s[k][lo : lo + PART] = unpack(r["n"], np.uint8), unpack(r["s"], np.int16)
-    discard(merged)
-    return n, s
+        lo = (r["part"] - first[k]) * wide
+        out[k][lo : lo + wide] = unpack(r[name], np.int16)
+    return out
 
 
 def taught(texts: DataFrame, model) -> tuple[np.ndarray, np.ndarray] | None:
@@ -563,7 +616,7 @@ def taught(texts: DataFrame, model) -> tuple[np.ndarray, np.ndarray] | None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_memory()
-        own = Model(model.value.bits, model.value.code, model.value.n, model.value.s)
+        own = Model(model.value.bits, model.value.code, model.value.less, [])
         some, size, seen = [], 0, 0
         for batch in batches:
             for a in batch.column("a").to_pylist():
@@ -624,21 +677,22 @@ def score(docs: DataFrame) -> DataFrame:
     sums = vocab.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     total, types = int(sums["n"] or 0), int(sums["v"] or 0)
     code, bits = byte_code(blocks), slot_bits(size)
-    model = Model(bits, code, *tables(learned, code, bits, max(6, -(-size // COUNTED))))
+    merged = tables(learned, code, bits, max(6, -(-size // COUNTED)))
+    teacher = spark.sparkContext.broadcast(Model(bits, code, table(merged, bits, "less"), []))
+    start = taught(learned, teacher)
+    teacher.destroy()
+    model = Model(bits, code, [], table(merged, bits, "s"))
+    discard(merged)
+    if start:
+        model.w, model.final = start
     shared = spark.sparkContext.broadcast(model)
-    if start := taught(learned, shared):
-        weights = spark.sparkContext.broadcast(start)
-    else:
-        weights = spark.sparkContext.broadcast((model.w, model.final))
     floor = np.log10(total + types + 1) if total else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by block, its answers first."""
         keep_memory()
         current, counts, held, size, id_type = None, {}, [], 0, None
-        m = shared.value
-        lm = Model(m.bits, m.code, m.n, m.s)
-        lm.w, lm.final = weights.value
+        lm = shared.value
 
         def out() -> pa.RecordBatch:
             texts = list(dict.fromkeys(t for *_, t in held))  # equal texts are scored once
