@@ -53,8 +53,9 @@ PRIOR, SEEN = 0.03, (0.5, 2.5, 15.5)
 NODES, RARE = 512, 2**-14
 N_INPUTS, GATES, STEPS = N_CONTEXTS + 2, 32, 49  # contexts, own history, bias
 ROOM = 8  # numbers that a cell's weights take
-#: Bytes of text worked on at once, and brought together when they are counted; bits of a symbol.
-CHUNK, SORTED, SYMBOL_BITS = 1 << 15, 2 << 20, 32
+#: Bytes of text worked on at once, mixed at once, and brought together when they are counted; bits of
+#: a symbol.
+CHUNK, MIXED, SORTED, SYMBOL_BITS = 1 << 15, 1 << 17, 2 << 20, 32
 #: Ends of a text's pieces, then every PIECE bytes.
 ENDS, PIECE = (256, 512, 1024, 2048, 4096, 8192), 8192
 RATE, CALM = 1.0, 48.0
@@ -354,7 +355,7 @@ class Model:
         out = np.zeros(len(texts))
         order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
         at, prices = 0, None if teach else self.prices()
-        for some in pieces([texts[i] for i in order]):
+        for some in pieces([texts[i] for i in order], MIXED):
             out[order[at : at + len(some)]] = self._some(some, teach, prices)
             at += len(some)
         return out
@@ -622,7 +623,7 @@ def taught(texts: DataFrame, model) -> tuple[np.ndarray, np.ndarray] | None:
             for a in batch.column("a").to_pylist():
                 some.append(expand(a))
                 size += len(some[-1]) + 2
-                if size >= 8 * CHUNK:
+                if size >= 8 * MIXED:
                     own.costs(some, True)
                     some, size, seen = [], 0, seen + size
         if some:
